@@ -11,12 +11,13 @@ from sparkseek.llm.pii import op2_personal_data
 from sparkseek.llm.secret_scan import op1_secret_scan
 from sparkseek.llm.sharding import op3_sharding
 from sparkseek.llm.simhash import op10_simhash_near_dedup
+from sparkseek.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict:
     found = (
         op1_secret_scan, op2_personal_data, op3_sharding, op4_mixing_to_target_weights, op5_benchmark_decontamination,
-        op6_chat_formatting, op8_balanced_posting_lists, op9_language_id, op10_simhash_near_dedup,
+        op6_chat_formatting, op7_toxicity, op8_balanced_posting_lists, op9_language_id, op10_simhash_near_dedup,
     )
     return {f.__name__: f for f in found}
 
