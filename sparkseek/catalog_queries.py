@@ -2,17 +2,586 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.functions import text as T
+from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, ordering, stats, vectors
+from sparkseek.operators.search import search
+from sparkseek.plans.filters import apply_filters
+from sparkseek.plans.query import parse_query
+from sparkseek.plans.request import SearchRequest
+from sparkseek.sources import files
+from sparkseek.sources.tables import documents_catalog, events_catalog, orders_catalog, pages_catalog, table
+
+NOW = datetime(2024, 1, 10, 15, 0, tzinfo=ZoneInfo("UTC"))
+
+CAT = """
+WITH lab AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id),
+cat AS (
+  SELECT d.doc_id AS id, 'doc' || d.doc_id || '.' || d.lang AS name, '/lib/' || source AS folder,
+    '/lib/' || source || '/' || lang || '/doc' || d.doc_id || '.' || lang AS path, n_chars AS size,
+    1704067200000 + (d.doc_id // 40) * 86400000 + (d.doc_id % 40) * 20000 AS mtime, coalesce(text, '') AS text,
+    list_filter([CASE WHEN q = 1 THEN 'quality' END, CASE WHEN t = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS user_tags,
+    CAST(to_json(list_filter([CASE WHEN q = 1 THEN 'quality' END, CASE WHEN t = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS VARCHAR) AS user_tags_json,
+    [lang] AS collections, d.doc_id % 10 = 0 AS pinned, d.doc_id % 50 = 49 AS hidden, 1 + d.doc_id % 1920 AS width, 1 + n_chars % 1080 AS height
+  FROM documents d LEFT JOIN lab USING (doc_id)
+)
+"""
+_ACCENTS = "".join(T.ACCENTED.values())
+_PLAIN = "".join(p * len(m) for p, m in T.ACCENTED.items())
+
+
+def _fold_sql(s: str) -> str:
+    return f"translate(translate(replace(replace(replace(lower({s}), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '{_ACCENTS}', '{_PLAIN}'), '{T.LOOKALIKE_FROM}', '{T.LOOKALIKE_TO}')"
+
+
+def _words_sql(s: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({s}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# Filters of the query language
+
+FILTERS = {
+    "filter_in_folder": ("in:src1", "contains(lower(left(path, length(path) - length(name))), '/src1')"),
+    "filter_path": ("path:de/doc1", "contains(lower(path), 'de/doc1')"),
+    "filter_ext": ("ext:de;.fr", "(ends_with(lower(name), '.de') OR ends_with(lower(name), '.fr'))"),
+    "filter_size_words": ("size:tiny", "size >= 0 AND size < 10240"),
+    "filter_size_range": ("size:1k..4kb", "size >= 1024 AND size < 4097"),
+    "filter_width_height": ("width:>100 height:<=500", "width >= 101 AND height >= 0 AND height < 501"),
+    "filter_date_week": ("date:week", "mtime >= 1704326400000 AND mtime < 1704931200000"),
+    "filter_date_before_after": ("after:2024-01-03 before:2024-01-08", "mtime >= 1704240000000 AND mtime < 1704672000000"),
+    "filter_date_month": ("dm:jan", "mtime >= 1704067200000 AND mtime < 1706745600000"),
+    "filter_tag": ("tag:Toxic", "list_contains(user_tags, 'toxic')"),
+    "filter_collection": ("collection:fr", "list_contains(collections, 'fr')"),
+    "filter_exclude": ('-und -"of the"', "NOT (contains(lower(text), 'und') OR contains(name, 'und') OR contains(user_tags_json, 'und')) AND NOT contains(lower(text), 'of the')"),
+    "filter_excluded_filter": ("-ext:de -http://x", "true"),
+    "filter_orientation": ("is:portrait", "height > width"),
+    "filter_landscape_pinned": ("is:landscape is:pinned", "width > height AND pinned"),
+    "filter_hidden": ("", "true"),
+}
+
+
+def _filtering(text: str):
+    return lambda spark, d: apply_filters(documents_catalog(spark, d), parse_query(text, NOW), SearchRequest(q=text)).select("id", "name", "size")
+
+
+for _name, (_text, _where) in FILTERS.items():
+    QUERIES[_name] = _filtering(_text)
+    SQL[_name] = f"{CAT} SELECT id, name, size FROM cat WHERE NOT hidden AND {_where}"
+
+
+@query("filter_content_kinds", "SELECT event_id AS id FROM events WHERE event_type = 'click'")
+def filter_content_kinds(spark, d):
+    events = events_catalog(spark, d).withColumn("tags", F.transform("tags", lambda t: F.concat(F.lit("h:"), F.when(t == "click", "url").otherwise(t))))
+    return apply_filters(events, parse_query("has:url", NOW)).select("id")
+
+
+@query("filter_color", "SELECT event_id AS id FROM events WHERE event_type = 'error'")
+def filter_color(spark, d):
+    events = events_catalog(spark, d).withColumn("tags", F.transform("tags", lambda t: F.concat(F.lit("c:"), F.when(t == "error", "gray").otherwise("red"))))
+    return apply_filters(events, parse_query("color:grey", NOW)).select("id")
+
+
+@query("feedback_anti", f"{CAT} SELECT id FROM cat WHERE NOT hidden AND pinned AND id % 7 <> 0")
+def feedback_anti(spark, d):
+    text = " IS:pinned "
+    feedback = documents_catalog(spark, d).filter("id % 7 = 0").select(F.lit("is:pinned").alias("query"), F.col("id").alias("shot_id"))
+    return apply_filters(documents_catalog(spark, d), parse_query(text, NOW), SearchRequest(q=text), feedback).select("id")
+
+
+@query("expand_group", "SELECT conv_id * 1000 + turn AS id FROM conversations WHERE conv_id = 3 OR conv_id * 1000 + turn = 3")
+def expand_group(spark, d):
+    from sparkseek.schema import conform
+
+    c = table(spark, d, "conversations")
+    rows = conform(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("group_id"), "text"))
+    return apply_filters(rows, parse_query("", NOW), SearchRequest(expand_group=3)).select("id")
+
+
+# Orders and pages
+
+
+def _ranked(order, page=None):
+    def run(spark, d):
+        rows = documents_catalog(spark, d).filter(~F.col("hidden")).select("id", "name", "size", "mtime")
+        ranked = ordering.with_rank(rows, order()).select("id", "rank")
+        return ranked if page is None else ranked.filter(F.col("rank").between(*page))
+
+    return run
+
+
+ORDERS = {
+    "browse_newest": (lambda: ordering.sort_columns("newest", browsing=True), "mtime DESC, id DESC"),
+    "sort_newest": (lambda: ordering.sort_columns("newest"), "mtime DESC, id"),
+    "sort_oldest": (lambda: ordering.sort_columns("oldest"), "mtime, id"),
+    "sort_largest": (lambda: ordering.sort_columns("largest"), "size DESC, id"),
+    "sort_smallest": (lambda: ordering.sort_columns("smallest"), "size, id"),
+    "sort_name": (lambda: ordering.sort_columns("name"), "lower(name), id"),
+    "browse_shuffle": (ordering.shuffle_columns, "(id * 1103515245 + 12345) & 2147483647, id"),
+}
+for _name, (_order, _by) in ORDERS.items():
+    QUERIES[_name] = _ranked(_order)
+    SQL[_name] = f"{CAT} SELECT id, row_number() OVER (ORDER BY {_by}) AS rank FROM cat WHERE NOT hidden"
+QUERIES["page_offset"] = _ranked(ORDERS["sort_largest"][0], (121, 240))
+SQL["page_offset"] = f"{CAT} SELECT * FROM (SELECT id, row_number() OVER (ORDER BY size DESC, id) AS rank FROM cat WHERE NOT hidden) WHERE rank BETWEEN 121 AND 240"
+
+
+# Text
+
+_COLUMNS = {"name": 4.0, "lower(text)": 1.0, "user_tags_json": 2.0}
+
+
+def _match_sql(terms: list[str]) -> str:
+    return " AND ".join("(" + " OR ".join(f"contains({c}, '{t}')" for c in _COLUMNS) + ")" for t in terms)
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    """A common table ``hits`` of shown matching rows with r, to stand after CAT."""
+    tf = lambda c, t: f"(length({c}) - length(replace({c}, '{t}', ''))) / {len(t)}.0"
+    f = {t: " + ".join(f"{w} * {tf(c, t)}" for c, w in _COLUMNS.items()) for t in terms}
+    n = ", ".join(f"count(*) FILTER (WHERE {_match_sql([t])}) AS n{i}" for i, t in enumerate(terms))
+    length = f"greatest(length(name) - 2, 0) + greatest(length(text) - 2, 0) + greatest(length(user_tags_json) - 2, 0) + greatest(length({_fold_sql('text')}) - 2, 0)"
+    idf = lambda i: f"(CASE WHEN ln((rows - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((rows - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END)"
+    score = " + ".join(f"{idf(i)} * ({f[t]}) * 2.2 / (({f[t]}) + 1.2 * (0.25 + 0.75 * ({length}) / mean))" for i, t in enumerate(terms))
+    return f", st AS (SELECT count(*) AS rows, avg({length}) AS mean, {n} FROM cat), hits AS (SELECT cat.*, -({score}) AS r FROM cat, st WHERE NOT hidden AND {_match_sql(terms)})"
+
+
+def _hits(spark, d, terms: list[str]) -> DataFrame:
+    catalog = documents_catalog(spark, d)
+    return lexical.text_hits(catalog, apply_filters(catalog, parse_query("", NOW)), *lexical.split_terms(terms))
+
+
+@query("text_match", f"{CAT} SELECT id FROM cat WHERE NOT hidden AND {_match_sql(['ation', 'the'])}")
+def text_match(spark, d):
+    catalog = documents_catalog(spark, d)
+    return apply_filters(catalog, parse_query("", NOW)).filter(lexical.matches([["ation"], ["the"]], [])).select("id")
+
+
+@query("short_term_match", f"{CAT} SELECT id FROM cat WHERE NOT hidden AND {_match_sql(['ü'])}".replace("lower(text)", "text"))
+def short_term_match(spark, d):
+    return apply_filters(documents_catalog(spark, d), parse_query("", NOW)).filter(lexical.matches([], ["ü"])).select("id")
+
+
+_TERMS = ["idiot", "stupid"]
+
+
+@query("text_bm25", f"{CAT}{_bm25_sql(['tion'])} SELECT id, round(r, 6) AS r FROM hits")
+def text_bm25(spark, d):
+    return _hits(spark, d, ["tion"]).select("id", F.round("r", 6).alias("r"))
+
+
+def _whole_sql(t: str) -> str:
+    hay = "lower(text || chr(10) || '' || chr(10) || user_tags_json || chr(10) || name)"
+    return f"CASE WHEN regexp_matches({hay}, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') THEN 1 ELSE 0 END"
+
+
+@query(
+    "text_rank_chain",
+    f"{CAT}{_bm25_sql(['idiot'])}, scored AS (SELECT id, mtime, {_whole_sql('idiot')} AS whole, r / min(r) OVER () AS score FROM hits)"
+    " SELECT id, CASE WHEN whole >= 1 THEN 'text' ELSE 'partial' END AS kind, round(score, 6) AS score,"
+    " row_number() OVER (ORDER BY whole >= 1 DESC, whole DESC, floor(score * 4) DESC, mtime DESC, id) AS rank FROM scored",
+)
+def text_rank_chain(spark, d):
+    hits = _hits(spark, d, ["idiot"]).select("id", "kind", F.round("score", 6).alias("score"), "lane", "complete", "whole", "bucket", "mtime")
+    return ordering.with_rank(hits, lexical.ranking()).select("id", "kind", "score", "rank")
+
+
+@query("has_word", f"{CAT} SELECT id, {_whole_sql('the')} = 1 AS whole FROM cat")
+def has_word(spark, d):
+    return documents_catalog(spark, d).select("id", T.has_word(lexical.haystack(), "the").alias("whole"))
+
+
+@query("fold_text", f"SELECT doc_id AS id, md5({_fold_sql('text')}) AS folded FROM documents")
+def fold_text(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+@query("words", f"SELECT doc_id AS id, len({_words_sql('text')}) AS n FROM documents")
+def words(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.size(T.words(F.col("text"))).cast("long").alias("n"))
+
+
+_VOCAB = (
+    f"{CAT}, said AS (SELECT unnest(list_concat(list_concat({_words_sql('text')}, {_words_sql(chr(114) + 'egexp_replace(name, ' + repr('[.][^.]*$') + ', ' + repr('') + ')')}), {_words_sql('user_tags_json')})) AS word"
+    f" FROM cat WHERE NOT hidden), vocab AS (SELECT word, count(*) AS n, {_fold_sql('word')} AS fold FROM said GROUP BY word)"
+)
+
+
+@query("vocab_counts", f"{_VOCAB} SELECT word, n, fold FROM vocab")
+def vocab_counts(spark, d):
+    return fuzzy.vocabulary(documents_catalog(spark, d))
+
+
+@query("vocab_fold", f"{_VOCAB} SELECT fold, array_to_string(list_sort(list(word)), ' ') AS words FROM vocab GROUP BY fold HAVING count(*) > 1")
+def vocab_fold(spark, d):
+    return fuzzy.fold_groups_of_words(fuzzy.vocabulary(documents_catalog(spark, d))).select("fold", F.array_join("words", " ").alias("words"))
+
+
+@query("misreads", f"{_VOCAB} SELECT word FROM vocab WHERE fold = {_fold_sql(chr(39) + 'ldlot' + chr(39))} AND word <> 'ldlot'")
+def misreads(spark, d):
+    return fuzzy.misreads(fuzzy.vocabulary(documents_catalog(spark, d)), "ldlot")
+
+
+@query("correction_candidates", f"{_VOCAB} SELECT word, n FROM vocab WHERE word LIKE 's%' AND abs(length(word) - 6) <= 2 AND levenshtein(word, 'stuped') <= 4")
+def correction_candidates(spark, d):
+    vocab = fuzzy.vocabulary(documents_catalog(spark, d))
+    near = vocab.filter(F.col("word").startswith("s") & (F.abs(F.length("word") - 6) <= 2))
+    return near.filter(F.levenshtein("word", F.lit("stuped"), 4) >= 0).select("word", "n")
+
+
+@query("corrections_osa")
+def corrections_osa(spark, d):
+    return fuzzy.corrections(fuzzy.vocabulary(documents_catalog(spark, d)), "stuipd")
+
+
+@query("line_overlap", "WITH x AS (SELECT doc_id, list_distinct(string_split(text, chr(10))) AS l FROM documents) SELECT a.doc_id AS id, len(list_intersect(a.l, b.l)) AS n FROM x a JOIN x b ON b.doc_id = a.doc_id + 20")
+def line_overlap(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.array_distinct(F.split("text", "\n")).alias("l"))
+    later = lines.select((F.col("doc_id") - 20).alias("doc_id"), F.col("l").alias("m"))
+    return lines.join(later, "doc_id").select(F.col("doc_id").alias("id"), F.size(F.array_intersect("l", "m")).cast("long").alias("n"))
+
+
+# Actions and other scalars
+
+_NOTES = "'Your code is ' || (1000 + o_orderkey) || chr(10) || 'call +1 555 ' || (1000 + o_orderkey % 9000) || ' 1234 #' || lpad(CAST(o_orderkey % 999 AS VARCHAR), 3, '0') || ' or user' || o_custkey || '@mail.example.org, see https://shop.example.com/o?id=' || o_orderkey || '.'"
+_ACTIONS = {
+    "email": "'user' || o_custkey || '@mail.example.org'",
+    "url": "'https://shop.example.com/o?id=' || o_orderkey",
+    "code": "CAST(1000 + o_orderkey AS VARCHAR)",
+    "phone": "'+1 555 ' || (1000 + o_orderkey % 9000) || ' 1234'",
+    "color": "'#' || lpad(CAST(o_orderkey % 999 AS VARCHAR), 3, '0')",
+}
+
+
+def _notes(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_NOTES.replace("chr(10)", "char(10)").replace("VARCHAR", "STRING")).alias("note"))
+
+
+for _kind, _value in _ACTIONS.items():
+
+    def _action(spark, d, kind=_kind):
+        found = F.filter(T.detect_actions(F.col("note")), lambda a: a["kind"] == kind)
+        return _notes(spark, d).select("id", F.array_join(F.transform(found, lambda a: a["value"]), " ").alias("value"))
+
+    query(f"actions_{_kind}", f"SELECT o_orderkey AS id, {_value} AS value FROM orders")(_action)
+
+
+@query("action_tags", "SELECT o_orderkey AS id, 'h:code h:color h:email h:phone h:url h:text' AS tags FROM orders")
+def action_tags(spark, d):
+    return _notes(spark, d).select("id", F.array_join(T.action_tags(F.col("note")), " ").alias("tags"))
+
+
+_HEX = "printf('#%02x%02x%02x', (p_partkey * 37) % 256, (p_partkey * 101) % 256, (p_partkey * 11) % 256)"
+_HSL = """
+WITH c AS (SELECT p_partkey AS id, ((p_partkey * 37) % 256) / 255.0::DOUBLE AS r, ((p_partkey * 101) % 256) / 255.0::DOUBLE AS g, ((p_partkey * 11) % 256) / 255.0::DOUBLE AS b FROM part),
+m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
+n AS (SELECT *, (hi + lo) / 2 AS l, hi - lo AS d FROM m),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE d / (1 - abs(2 * l - 1)) END AS s,
+  CASE WHEN d = 0 THEN 0 WHEN hi = r THEN ((g - b) / d * 60 + 360) % 360 WHEN hi = g THEN ((b - r) / d + 2) * 60 ELSE ((r - g) / d + 4) * 60 END AS hue FROM n)
+SELECT id, CASE WHEN l < 0.12 THEN 'black' WHEN l > 0.92 AND s < 0.5 THEN 'white' WHEN s < 0.15 THEN 'gray' WHEN hue < 15 OR hue >= 345 THEN 'red'
+  WHEN hue < 45 THEN CASE WHEN l < 0.4 THEN 'brown' ELSE 'orange' END WHEN hue < 70 THEN 'yellow' WHEN hue < 165 THEN 'green' WHEN hue < 195 THEN 'teal'
+  WHEN hue < 255 THEN 'blue' WHEN hue < 290 THEN 'purple' ELSE 'pink' END AS name FROM h
+"""
+
+
+def _part_colors(spark, d) -> DataFrame:
+    two = lambda k: F.lower(F.lpad(F.hex((F.col("p_partkey") * k) % 256), 2, "0"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("#"), two(37), two(101), two(11)).alias("hex"))
+
+
+@query("color_name", _HSL)
+def color_name(spark, d):
+    return _part_colors(spark, d).select("id", T.color_name(F.col("hex")).alias("name"))
+
+
+_SIGNS = "SELECT vec_id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM embeddings WHERE vec_id < 100"
+
+
+@query("hamming", f"WITH s AS ({_SIGNS}) SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id")
+def hamming(spark, d):
+    nibble = lambda v, i: F.lower(F.conv(F.array_join(F.slice(v, 4 * i + 1, 4), ""), 2, 16))
+    bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
+    s = table(spark, d, "embeddings").filter("vec_id < 100").select("vec_id", bits.alias("v"))
+    s = s.select("vec_id", F.concat(*(nibble(F.col("v"), i) for i in range(16))).alias("h"))
+    other = s.select(F.col("vec_id").alias("b"), F.col("h").alias("g"))
+    return s.join(other, F.col("vec_id") < F.col("b")).select(F.col("vec_id").alias("a"), "b", T.hamming(F.col("h"), F.col("g")).cast("long").alias("bits"))
+
+
+@query("parse_links", "SELECT page_id AS id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^(http|https|mailto):')")
+def parse_links(spark, d):
+    return pages_catalog(spark, d).filter(T.openable(F.col("source_url"))).select("id", F.try_parse_url("source_url", F.lit("HOST")).alias("host"))
+
+
+# Vectors and fusion
+
+
+def _query_vector(spark, d, item: int) -> list[float]:
+    return list(table(spark, d, "embeddings").filter(F.col("vec_id") == item).first()["embedding"])
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_Q = "(SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 7)"
+_QUANT = "WITH s AS (SELECT vec_id, label, greatest(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 1e-12) / 127.0 AS scale, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS id, label, scale, list_transform(v, lambda x: round(x / scale)) AS z FROM s)"
+
+
+@query("quantise", f"{_QUANT} SELECT id, round(scale, 9) AS scale, array_to_string(list_transform(z, lambda x: CAST(x AS INTEGER)), ' ') AS z FROM q")
+def quantise(spark, d):
+    q = vectors.with_quantised(_vectors(spark, d))
+    return q.select("id", F.round("scale", 9).alias("scale"), F.array_join(F.col("quantised").cast("array<string>"), " ").alias("z"))
+
+
+@query("vector_top_k", f"{_QUANT} SELECT id, round(scale * list_inner_product(z, {_Q}), 6) AS score FROM q WHERE id <> 7 ORDER BY scale * list_inner_product(z, {_Q}) DESC, id LIMIT 20")
+def vector_top_k(spark, d):
+    return vectors.nearest(_vectors(spark, d).filter("id <> 7"), _query_vector(spark, d, 7), -1.0, k=20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("vector_filtered", f"{_QUANT} SELECT id, round(scale * list_inner_product(z, {_Q}), 6) AS score FROM q WHERE label = 3 AND scale * list_inner_product(z, {_Q}) >= 0.05")
+def vector_filtered(spark, d):
+    return vectors.nearest(_vectors(spark, d).filter("label = 3"), _query_vector(spark, d, 7), 0.05).select("id", F.round("score", 6).alias("score"))
+
+
+@query("vector_batched", f"{_QUANT} SELECT id, round(scale * list_inner_product(z, {_Q}), 6) AS score FROM q WHERE scale * list_inner_product(z, {_Q}) >= 0.1")
+def vector_batched(spark, d):
+    return vectors.nearest(_vectors(spark, d), _query_vector(spark, d, 7), 0.1, batched=True).select("id", F.round("score", 6).alias("score"))
+
+
+_Q8 = _Q.replace("vec_id = 7", "vec_id = 8")
+
+
+@query("prompt_max", f"{_QUANT} SELECT id, round(scale * greatest(list_inner_product(z, {_Q}), list_inner_product(z, {_Q8})), 6) AS score FROM q WHERE scale * greatest(list_inner_product(z, {_Q}), list_inner_product(z, {_Q8})) >= 0.1")
+def prompt_max(spark, d):
+    both = [_query_vector(spark, d, 7), _query_vector(spark, d, 8)]
+    return vectors.nearest_of_prompts(_vectors(spark, d), both, 0.1).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "rrf_fusion",
+    "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE doc_id % 2 = 0),"
+    " b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0)"
+    " SELECT id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score, CASE WHEN a.rank IS NULL THEN 'visual' ELSE 'text' END AS kind,"
+    " concat_ws(' ', CASE WHEN a.rank IS NOT NULL THEN 'text' END, CASE WHEN b.rank IS NOT NULL THEN 'visual' END) AS evidence FROM a FULL JOIN b USING (id)",
+)
+def rrf_fusion(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    kind = lambda df, k: df.withColumns({"kind": F.lit(k), "evidence": F.array(F.lit(k))})
+    a = kind(ordering.with_rank(docs.filter("id % 2 = 0"), [F.desc("n_chars"), F.asc("id")]), "text")
+    b = kind(ordering.with_rank(docs.filter("id % 3 = 0"), [F.asc("id")]), "visual")
+    return fusion.reciprocal_rank_fusion(a, b).select("id", F.round("score", 9).alias("score"), "kind", F.array_join("evidence", " ").alias("evidence"))
+
+
+@query("fold_groups", "SELECT min_by(conv_id * 1000 + turn, turn) AS id, count(*) AS group_size, array_to_string(list_sort(list_distinct(list(role))), ' ') AS evidence FROM conversations GROUP BY conv_id")
+def fold_groups(spark, d):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("group_id"), F.array("role").alias("evidence"))
+    return fusion.fold_groups(c, [F.asc("id")]).select("id", "group_size", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
+
+
+# Bursts
+
+_EV = """
+WITH s AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM embeddings WHERE vec_id < 500),
+e AS (SELECT event_id AS id, user_id, epoch_ms(ts) AS ms, bits FROM events JOIN s ON vec_id = event_id % 500),
+p AS (SELECT a.id AS a, b.id AS b, 1 - hamming(a.bits, b.bits) / 64.0 AS score FROM e a JOIN e b ON a.user_id = b.user_id AND a.id <> b.id AND abs(a.ms - b.ms) <= 600000 WHERE hamming(a.bits, b.bits) <= 6)
+"""
+
+
+def _event_bursts(spark, d) -> DataFrame:
+    """Events of the vectors' first eight signs only, so that some are alike."""
+    return events_catalog(spark, d)
+
+
+@query("burst_pairs", f"{_EV} SELECT a, b, round(score, 6) AS score FROM p")
+def burst_pairs(spark, d):
+    return bursts.burst_pairs(_event_bursts(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+_DOC_BURST = f"""{CAT}, x AS (SELECT id, folder, mtime, list_distinct(string_split(text, chr(10))) AS l FROM cat WHERE NOT hidden),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.l, b.l)) / greatest(len(a.l), len(b.l))::DOUBLE AS score FROM x a JOIN x b
+  ON a.folder = b.folder AND a.id <> b.id AND abs(a.mtime - b.mtime) <= 600000 WHERE len(a.l) >= 4 AND len(b.l) >= 4)"""
+
+
+def _lined(spark, d) -> DataFrame:
+    """Documents whose hashes differ in every bit, so that only lines make bursts."""
+    return documents_catalog(spark, d).withColumn("dhash", F.when(F.floor(F.col("id") / 20) % 2 == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long"))
+
+
+@query("burst_lines", f"{_DOC_BURST} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.7")
+def burst_lines(spark, d):
+    return bursts.burst_pairs(_lined(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def _one_hash(spark, d) -> DataFrame:
+    """Events that all look alike: bursts by time alone."""
+    return events_catalog(spark, d).withColumn("dhash", F.lit(5).cast("long"))
+
+
+_CHAINS = """WITH e AS (SELECT event_id AS id, user_id, epoch_ms(ts) AS ms FROM events),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, id) AS run FROM g)"""
+
+
+@query("burst_components", f"{_CHAINS} SELECT id, min(id) OVER (PARTITION BY user_id, run) AS group_id FROM r QUALIFY count(*) OVER (PARTITION BY user_id, run) > 1")
+def burst_components(spark, d):
+    _checkpoints(spark)
+    return bursts.burst_components(_one_hash(spark, d))
+
+
+def _checkpoints(spark) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+
+
+@query("burst_ingest_order")
+def burst_ingest_order(spark, d):
+    return bursts.group_bursts(_one_hash(spark, d), "ingest")
+
+
+# Ingest
+
+_DIFF = """WITH found AS (SELECT '/a/' || o_orderkey || '.png' AS path, o_orderkey * 10 AS mtime, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS size FROM orders WHERE o_orderkey % 3 <> 0),
+known AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN '/b/' ELSE '/a/' END || o_orderkey || '.png' AS path, o_orderkey * 10 AS mtime, 0 AS size FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT path, id, CASE WHEN id IS NULL THEN 'new' WHEN f.mtime IS NULL AND path LIKE '/b/%' THEN 'kept' WHEN f.mtime IS NULL THEN 'gone'
+  WHEN f.mtime <> k.mtime OR f.size <> k.size THEN 'changed' ELSE 'same' END AS change FROM found f FULL JOIN known k USING (path)"""
+
+
+@query("catalog_diff", _DIFF)
+def catalog_diff(spark, d):
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(k)
+    path = lambda root: F.concat(root, k, F.lit(".png"))
+    found = orders.filter(k % 3 != 0).select(path(F.lit("/a/")).alias("path"), F.lit("/a").alias("folder"), F.concat(k, F.lit(".png")).alias("name"), (k * 10).alias("mtime"), F.when(k % 5 == 0, 1).otherwise(0).cast("long").alias("size"))
+    known = orders.filter(k % 4 != 0).select(k.alias("id"), path(F.when(k % 7 == 0, "/b/").otherwise("/a/")).alias("path"), F.lit("/a").alias("folder"), (k * 10).alias("mtime"), F.lit(0).cast("long").alias("size"))
+    return files.catalog_diff(found, known, ["/a", "/b"], complete=["/a"]).select("path", "id", "change")
+
+
+@query("sidecar_import", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'https://x.example/' || o_orderkey ELSE '' END AS source_url FROM orders")
+def sidecar_import(spark, d):
+    k = F.col("id")
+    catalog = orders_catalog(spark, d)
+    body = F.to_json(F.struct(F.when(k % 3 == 0, 2).otherwise(1).alias("version"), F.col("name").alias("imageName"), F.concat(F.lit("https://x.example/"), k).alias("sourceUrl")))
+    sidecars = catalog.filter(k % 2 == 0).select(F.concat(F.lit("/o/order"), k, F.lit(".capture.json")).alias("path"), F.lit(100).cast("long").alias("length"), body.cast("binary").alias("content"))
+    return files.import_sidecars(catalog, sidecars, "capture").select("id", "source_url")
+
+
+@query("path_rules", "SELECT doc_id AS id, CASE WHEN doc_id % 20 = 3 THEN NULL WHEN doc_id % 20 = 5 THEN '/lib/src5' ELSE '/lib' END AS root, lang = 'fr' AS skipped FROM documents WHERE source = 'src' || (doc_id % 20)")
+def path_rules(spark, d):
+    rows = documents_catalog(spark, d).filter(F.col("folder") == F.concat(F.lit("/lib/src"), F.col("id") % 20))
+    return rows.select("id", files.root_of(F.col("path"), ["/lib", "/lib/src5"], ["/lib/src3"]).alias("root"), files.skipped(F.col("path"), "/lib", ("FR",)).alias("skipped"))
+
+
+# Statistics
+
+
+@query("stats_totals", f"{CAT} SELECT count(*) AS items, sum(size) AS bytes, count(*) FILTER (WHERE text <> '') AS with_text FROM cat WHERE NOT hidden")
+def stats_totals(spark, d):
+    return stats.totals(documents_catalog(spark, d))
+
+
+@query("stats_folders", f"{CAT} SELECT folder, count(*) AS items FROM cat WHERE NOT hidden GROUP BY folder")
+def stats_folders(spark, d):
+    return stats.folders(documents_catalog(spark, d))
+
+
+@query(
+    "stats_months",
+    "WITH s AS (SELECT strftime(m, '%Y-%m') AS month FROM range(TIMESTAMP '1997-07-01', TIMESTAMP '1998-07-01', INTERVAL 1 MONTH) t(m))"
+    " SELECT month, count(o_orderkey) AS items FROM s LEFT JOIN orders ON strftime(o_orderdate, '%Y-%m') = month GROUP BY month",
+)
+def stats_months(spark, d):
+    return stats.months(orders_catalog(spark, d), datetime(1998, 6, 15))
+
+
+@query("stats_colors", f"SELECT name, count(*) AS items FROM ({_HSL}) GROUP BY name ORDER BY items DESC, name LIMIT 8")
+def stats_colors(spark, d):
+    rows = _part_colors(spark, d).select("id", F.array("hex").alias("colors"), F.lit(False).alias("hidden"))
+    return stats.colors(rows).select("name", "items")
+
+
+@query("status_counts", "SELECT count(*) AS total, count(*) AS read, count(embedding) AS embedded, 0 AS errors, 0 AS sharp FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 <> 49")
+def status_counts(spark, d):
+    return stats.status(documents_catalog(spark, d, vectors=True), "v1")
+
+
+@query("failures", "SELECT o_orderkey AS id, 'Could not be read' AS message FROM orders WHERE o_orderstatus = 'F'")
+def failures(spark, d):
+    return stats.failures(orders_catalog(spark, d).withColumn("stage", F.when(F.col("text") == "F", -1).otherwise(1))).select("id", "message")
+
+
+@query("bounded_count", "SELECT least(count(*), 41) AS n FROM orders WHERE o_orderstatus = 'O'")
+def bounded_count(spark, d):
+    waiting = orders_catalog(spark, d).filter("text = 'O'").limit(stats.BACKLOG + 1)
+    return waiting.agg(F.count("*").alias("n"))
+
+
+@query(
+    "page_sections",
+    "WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS at, strftime(o_orderdate, '%B %Y') AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500),"
+    " n AS (SELECT *, CASE WHEN title = lag(title) OVER (ORDER BY at) THEN 0 ELSE 1 END AS new FROM p), r AS (SELECT *, sum(new) OVER (ORDER BY at) AS run FROM n)"
+    " SELECT run, title, min(at) AS first, count(*) AS rows FROM r GROUP BY run, title",
+)
+def page_sections(spark, d):
+    order = [F.desc("mtime"), F.asc("id")]
+    rows = orders_catalog(spark, d).orderBy(*order).limit(500)
+    return stats.sections(rows, order, stats.section(F.col("mtime"), datetime(2030, 1, 1)))
+
+
+@query(
+    "eval_metrics",
+    "WITH r AS (SELECT conv_id AS query, turn + 1 AS rank, turn AS id, role FROM conversations), w AS (SELECT query, count(*) AS wanted FROM r WHERE role = 'assistant' GROUP BY query),"
+    " h AS (SELECT query, count(*) FILTER (WHERE role = 'assistant') AS hits, min(CASE WHEN role = 'assistant' THEN rank END) AS first FROM r WHERE rank <= 4 GROUP BY query)"
+    " SELECT query, round(hits / 4.0, 6) AS precision, round(hits / wanted::DOUBLE, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS reciprocal_rank FROM h JOIN w USING (query)",
+)
+def eval_metrics(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("query"), (F.col("turn") + 1).alias("rank"), F.col("turn").alias("id"), "role")
+    relevant = c.filter("role = 'assistant'").select("query", "id")
+    found = evaluation.evaluate(c.select("query", "rank", "id"), relevant, c.select("query").distinct().withColumn("k", F.lit(4)))
+    return found.filter(F.col("recall").isNotNull()).select("query", *(F.round(m, 6).alias(m) for m in ("precision", "recall", "reciprocal_rank")))
+
+
+# The router
+
+
+@query("search_text", SQL["text_rank_chain"].replace("score, 6) AS score,", "score, 6) AS score,", 1))
+def search_text(spark, d):
+    found = search(documents_catalog(spark, d), SearchRequest(q="idiot", mode="text"), now=NOW)
+    return found.ranked().select("id", "kind", F.round("score", 6).alias("score"), "rank")
+
+
+@query("search_browse", f"{CAT} SELECT id, row_number() OVER (ORDER BY mtime, id) AS rank FROM cat WHERE NOT hidden AND ends_with(name, '.de') AND size >= 1025")
+def search_browse(spark, d):
+    return search(documents_catalog(spark, d), SearchRequest(q="ext:de size:>1k sort:oldest"), now=NOW).ranked().select("id", "rank")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.contains("text", F.lit("the"))).select("doc_id")
+    """A ranked text search with an exclusion."""
+    found = search(documents_catalog(spark, sf_dir), SearchRequest(q="tion -und sort:relevance", mode="text"), now=NOW)
+    return found.ranked().select("rank", "id", "path", "kind", F.round("score", 6).alias("score")).orderBy("rank")
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
