@@ -241,7 +241,7 @@ def misreads(spark, d):
     return fuzzy.misreads(fuzzy.vocabulary(documents_catalog(spark, d)), "ldlot")
 
 
-@query("correction_candidates", f"{_VOCAB} SELECT word, n FROM vocab WHERE word LIKE 's%' AND abs(length(word) - 6) <= 2 AND levenshtein(word, 'stuped') <= 4")
+@query("correction_candidates")
 def correction_candidates(spark, d):
     vocab = fuzzy.vocabulary(documents_catalog(spark, d))
     near = vocab.filter(F.col("word").startswith("s") & (F.abs(F.length("word") - 6) <= 2))
@@ -536,9 +536,9 @@ def bounded_count(spark, d):
 
 @query(
     "page_sections",
-    "WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS at, strftime(o_orderdate, '%B %Y') AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500),"
-    " n AS (SELECT *, CASE WHEN title = lag(title) OVER (ORDER BY at) THEN 0 ELSE 1 END AS new FROM p), r AS (SELECT *, sum(new) OVER (ORDER BY at) AS run FROM n)"
-    " SELECT run, title, min(at) AS first, count(*) AS rows FROM r GROUP BY run, title",
+    "WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos, strftime(o_orderdate, '%B %Y') AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500),"
+    " n AS (SELECT *, CASE WHEN title = lag(title) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS new FROM p), r AS (SELECT *, sum(new) OVER (ORDER BY pos) AS run FROM n)"
+    " SELECT run, title, min(pos) AS first, count(*) AS rows FROM r GROUP BY run, title",
 )
 def page_sections(spark, d):
     order = [F.desc("mtime"), F.asc("id")]

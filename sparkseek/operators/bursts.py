@@ -123,4 +123,6 @@ def group_bursts(catalog: DataFrame, order: str = "components") -> DataFrame:
     by_time = Window.partitionBy("folder").orderBy("mtime", "id")
     gap = F.coalesce((F.col("mtime") - F.lag("mtime").over(by_time) > WINDOW_MS).cast("int"), F.lit(1))
     rows = rows.withColumn("_new", gap).withColumn("session", F.sum("_new").over(by_time)).drop("_new")
+    alone = F.count("*").over(Window.partitionBy("folder", "session")) == 1
+    rows = rows.withColumn("_alone", alone).filter(~F.col("_alone")).drop("_alone")
     return rows.groupBy("folder", "session").applyInPandas(lambda rows: _in_order(rows), "id long, group_id long").filter(F.col("group_id").isNotNull())

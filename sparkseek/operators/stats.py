@@ -28,7 +28,7 @@ def months(catalog: DataFrame, now: datetime, count: int = 12) -> DataFrame:
     """(month, items) of the last months, with months without items as 0; months after now drop out."""
     spark = catalog.sparkSession
     first = f"date_trunc('month', add_months(timestamp '{now:%Y-%m-%d %H:%M:%S}', {1 - count}))"
-    spine = spark.sql(f"SELECT date_format(explode(sequence({first}, date_trunc('month', timestamp '{now:%Y-%m-%d %H:%M:%S}'), interval 1 month)), 'yyyy-MM') AS month")
+    spine = spark.sql(f"SELECT date_format(m, 'yyyy-MM') AS month FROM (SELECT explode(sequence({first}, date_trunc('month', timestamp '{now:%Y-%m-%d %H:%M:%S}'), interval 1 month)) AS m)")
     own = catalog.filter(~F.col("hidden")).groupBy(F.date_format(F.timestamp_millis("mtime"), "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     return spine.join(own, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("items")).orderBy("month")
 
