@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from sparkseek.llm.common import load, unit
 
 SHARDS = 16
-ROWS_PER_BLOCK = 16_384
+ROWS_PER_BLOCK = 4_096
 
 
 @dataclass(frozen=True)
@@ -77,15 +77,14 @@ def place(df: DataFrame, key: str, leaves: tuple[Leaf, ...], prefix: str = "") -
     return df.withColumn(f"{prefix}shard", F.col(f"{prefix}shard").cast("int"))
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, order: list[str], shards: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """df with a column slot that numbers the rows of each shard from 0 without gaps.
 
     A shard is cut into blocks by a hash of the order columns, the rows of a block are numbered
     in one task, and a running sum of block counts gives where each block begins. So no task sees
     a whole shard. Rows that agree in every order column share a block.
     """
-    total = df.count()
-    blocks = max(1, math.ceil(total / rows_per_block / 8))
+    blocks = max(1, math.ceil(df.count() / shards / rows_per_block))
     df = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     sizes = df.groupBy(F.col(shard).alias("_shard"), F.col("_block").alias("_b")).count()
     before = Window.partitionBy("_shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +109,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     )
     df = place(df, key, tree_for(shards))
     df = place(df, key, tree_for(shards + 1), "_grown_").withColumn("grown_shard", F.col("_grown_shard")).drop("_grown_region", "_grown_rack", "_grown_shard")
-    return with_slots(df, "shard", [key, "text_crc32", "size"])
+    return with_slots(df, "shard", [key, "text_crc32", "size"], shards)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

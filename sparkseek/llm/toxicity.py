@@ -194,9 +194,9 @@ def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
 
 
-def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """docs with score; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all, if not named) with score; a column of that name is replaced."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "score double"])
     return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(partial(_score, sent=sent), schema)
@@ -204,5 +204,5 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score(docs.select("doc_id", "text"), train(docs, load(spark, sf_dir, "labels")))
+    found = score(docs, train(docs, load(spark, sf_dir, "labels")), keep=["doc_id"])
     return found.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
