@@ -159,7 +159,7 @@ def codes(text: Column) -> Column:
 
 def phones(text: Column) -> Column:
     """Numbers of 10 to 13 digits that are not written like a date."""
-    found = F.transform(_all(text, PHONE_PATTERN), F.trim)
+    found = F.transform(_all(text, PHONE_PATTERN), lambda p: F.trim(p))
     digits = lambda p: F.length(F.regexp_replace(p, "[^0-9]", ""))
     return F.filter(found, lambda p: digits(p).between(10, 13) & ~p.rlike(f"(?U){DATE_PATTERN}"))
 

@@ -26,7 +26,7 @@ def clean_labels(labels: list[str]) -> list[str]:
 
 def clean_label_column(labels: Column) -> Column:
     """The same for a column of labels, in bulk."""
-    trimmed = F.filter(F.transform(labels, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != "")
     new = lambda seen, x: ~F.exists(seen, lambda s: F.lower(s) == F.lower(x))
     return F.aggregate(trimmed, F.array().cast("array<string>"), lambda seen, x: F.when(new(seen, x), F.concat(seen, F.array(x))).otherwise(seen))
 
