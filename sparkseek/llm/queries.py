@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkseek.llm.ann import op8_balanced_posting_lists
 from sparkseek.llm.chat import OP6_SQL, op6_chat_formatting
-from sparkseek.llm.decontam import op5_benchmark_decontamination
+from sparkseek.llm.decontam import OP5_SQL, op5_benchmark_decontamination
 from sparkseek.llm.langid import op9_language_id
 from sparkseek.llm.mixing import op4_mixing_to_target_weights
 from sparkseek.llm.pii import op2_personal_data
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL}
+    return {"op5_benchmark_decontamination": OP5_SQL, "op6_chat_formatting": OP6_SQL}

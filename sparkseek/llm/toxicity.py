@@ -37,6 +37,8 @@ FEATURES = 300
 LEVELS = 3
 LEXICON_VOTERS = 80
 STARTS = range(3, 9)
+#: Standard deviations by which a feature must tell the classes apart.
+SURE = 4.0
 SAME_VOICE = 0.6
 #: Words whose features a Python worker remembers.
 REMEMBERED = 300_000
@@ -142,7 +144,8 @@ def fit(texts: list[str | None], labels: np.ndarray, feature_count: int = FEATUR
                     row[j] += 1
     _, first = np.unique(counts, axis=1, return_index=True)  # a beginning that says the same as another is left out
     at_level = np.stack([_z((counts[labels == 1] >= t).sum(axis=0), (counts[labels == 0] >= t).sum(axis=0), toxic, clean) for t in range(1, LEVELS + 1)])
-    best = first[np.argsort(-np.abs(at_level[:, first]).max(axis=0), kind="stable")][:feature_count]
+    strength = np.abs(at_level).max(axis=0)
+    best = [i for i in first[np.argsort(-strength[first], kind="stable")][:feature_count] if strength[i] >= SURE]
     names, counts, at_level = [names[i] for i in best], counts[:, best], at_level[:, best]
     votes = _votes(texts, counts, labels, at_level, voters)
     posterior = LabelModel(votes, np.where(labels == 1, 0.9, 0.05)).posterior
@@ -154,7 +157,7 @@ def _votes(texts: list[str | None], counts: np.ndarray, labels: np.ndarray, at_l
     """A column for each voter: lexicon voters, patterns, silence of the lexicons, and the label."""
     columns = []
     for j in np.argsort(-at_level.max(axis=0), kind="stable")[:voters]:
-        if at_level[:, j].max() > 3:
+        if at_level[:, j].max() >= SURE:
             columns.append(np.where(counts[:, j] > int(np.argmax(at_level[:, j])), 1, -1))
     silent = np.all([c < 0 for c in columns], axis=0) if columns else np.ones(len(texts), dtype=bool)
     letters = np.array([max(1, sum(map(str.isalpha, (t or "")[:100_000]))) for t in texts])
