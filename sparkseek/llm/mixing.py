@@ -26,6 +26,8 @@ empty table gives an empty result; input columns named as output columns are rep
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,13 +56,14 @@ def token_count(text: Column) -> Column:
 def surface_topic(text: Column) -> Column:
     """A class of the text by its surface: table, shouting, marked, list or prose; empty without text."""
     n = F.length(text)
-    share = lambda chars: (n - F.length(F.translate(text, chars, ""))) / n
+    without = lambda chars: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
+    share = lambda rest: (n - F.length(rest)) / n
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, "empty")
-        .when(share("|") > 0.03, "table")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "shouting")
-        .when(share("#$%&*") > 0.05, "marked")
-        .when(share("\n") > 0.02, "list")
+        .when(share(without("|")) > 0.03, "table")
+        .when(share(F.regexp_replace(text, "[A-Z]+", "")) > 0.3, "shouting")
+        .when(share(without("#$%&*")) > 0.05, "marked")
+        .when(share(without("\n")) > 0.02, "list")
         .otherwise("prose")
     )
 
