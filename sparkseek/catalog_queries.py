@@ -479,7 +479,7 @@ def catalog_diff(spark, d):
 def sidecar_import(spark, d):
     k = F.col("id")
     catalog = orders_catalog(spark, d)
-    body = F.to_json(F.struct(F.when(k % 3 == 0, 2).otherwise(1).alias("version"), F.col("name").alias("imageName"), F.concat(F.lit("https://x.example/"), k).alias("sourceUrl")))
+    body = F.to_json(F.struct(F.when(k % 3 == 0, 2).otherwise(1).alias("version"), F.col("name").alias("imageName"), F.concat(F.lit("https://x.example/"), k).alias("sourceUrl"), F.lit("T").alias("title")))
     sidecars = catalog.filter(k % 2 == 0).select(F.concat(F.lit("/o/order"), k, F.lit(".capture.json")).alias("path"), F.lit(100).cast("long").alias("length"), body.cast("binary").alias("content"))
     return files.import_sidecars(catalog, sidecars, "capture").select("id", "source_url")
 

@@ -24,7 +24,7 @@ def to_read(catalog: DataFrame, queue: DataFrame, workers: int) -> DataFrame:
 
 
 def needs_embedding(version: str) -> Column:
-    return (F.col("stage") >= 1) & (F.col("embedding").isNull() | ~F.col("embedding_version").eqNullSafe(version))
+    return (F.col("stage") >= 1) & F.col("error").isNull() & (F.col("embedding").isNull() | ~F.col("embedding_version").eqNullSafe(version))
 
 
 def to_embed(catalog: DataFrame, queue: DataFrame, version: str) -> DataFrame:
@@ -34,7 +34,7 @@ def to_embed(catalog: DataFrame, queue: DataFrame, version: str) -> DataFrame:
 
 def to_sharpen(catalog: DataFrame) -> DataFrame:
     """The newest row read plainly that has text, or could hold some: a wide image of 640 by 360 or more."""
-    wide = (F.col("width") >= 640) & (F.col("height") >= 360) & (F.col("width") > F.col("height"))
+    wide = (F.col("width") >= 640) & (F.col("height") >= 360) & (F.col("width") >= F.col("height"))
     return _newest(catalog.filter(~F.col("hidden") & (F.col("stage") >= 1) & (F.col("ocr") == 0) & ((F.col("text") != "") | wide)), SHARPEN_BATCH)
 
 

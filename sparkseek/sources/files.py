@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as an image, and folders that are never entered.
-EXTENSIONS = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
+EXTENSIONS = ("png", "jpg", "jpeg", "webp", "gif", "tif", "tiff", "bmp")
 SKIPPED_SUFFIXES = (".app", ".photoslibrary")
+SKIPPED_NAMES = ("appdata", "node_modules", "bower_components", "__pycache__", "__macosx", "site-packages", "steamapps", "system volume information")
+SKIPPED_ON_DRIVES = ("windows", "program files", "program files (x86)", "programdata", "recovery", "perflogs", "msocache", "windows.old")
 MAX_SIDECAR_BYTES = 64_000
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -32,11 +34,19 @@ def below(path: Column, root: str) -> Column:
 
 
 def skipped(path: Column, root: str, names: tuple[str, ...] = ()) -> Column:
-    """True if a folder between the root and the file is hidden, a bundle or one of the names, or the file is not below."""
-    inner = F.split(F.substr(path, F.lit(len(root) + 2), F.length(path)), "/")
+    """True if the file is not below the root, or a folder between them is never entered.
+
+    Such folders are hidden ones, bundles, the fixed names and those given, and right under a drive
+    the system's own.
+    """
+    inner = F.split(F.lower(F.substr(path, F.lit(len(root) + 2), F.length(path))), "/")
     folders = F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))
-    bad = lambda s: s.startswith(".") | s.startswith("$") | reduce(Column.__or__, [F.lower(s).endswith(x) for x in SKIPPED_SUFFIXES]) | F.lower(s).isin(*(n.lower() for n in names) or ("",))
-    return ~below(path, root) | F.exists(folders, bad)
+    ending = lambda s: reduce(Column.__or__, [s.endswith(x) for x in SKIPPED_SUFFIXES])
+    bad = lambda s: s.startswith(".") | s.startswith("$") | ending(s) | s.isin(*SKIPPED_NAMES, *(n.lower() for n in names))
+    out = ~below(path, root) | F.exists(folders, bad)
+    if re.fullmatch("|[A-Za-z]:", root):
+        out = out | F.coalesce(F.get(folders, F.lit(0)).isin(*SKIPPED_ON_DRIVES), F.lit(False))
+    return out
 
 
 def root_of(path: Column, roots: list[str], excluded: list[str]) -> Column:
@@ -62,6 +72,19 @@ def scan(spark: SparkSession, roots: list[str], excluded: list[str] = (), skip_n
     return located(files, roots, excluded, skip_names)
 
 
+def images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, width, height, channels, data) of images that the JVM can decode and that are not too large."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+    fits = F.col("width").cast("long") * F.col("height") * 4 <= 200 << 20
+    return rows.filter(fits).select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")
+
+
+def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, ok) of files (path, content) against their SHA-256 (name, sha256) by file name."""
+    named = files.select("path", F.sha2("content", 256).alias("found"), F.regexp_extract(_plain(F.col("path")), r"[^/]*$", 0).alias("name"))
+    return named.join(expected, "name").select("path", (F.col("found") == F.lower("sha256")).alias("ok"))
+
+
 def catalog_diff(found: DataFrame, catalog: DataFrame, roots: list[str], complete: list[str], excluded: list[str] = ()) -> DataFrame:
     """(path, id, change, folder, name, mtime, size): new, changed, gone, kept or same.
 
@@ -109,12 +132,15 @@ def import_sidecars(catalog: DataFrame, sidecars: DataFrame, suffix: str) -> Dat
     """The catalog with source_url and note from ``<stem>.<suffix>.json`` files beside the items, where these are empty.
 
     sidecars holds rows (path, length, content). A sidecar counts if it is small enough, of
-    version 1, and names the item's file.
+    version 1, names the item's file, and has an address that may be stored.
     """
-    body = F.from_json(F.col("content").cast("string"), "version int, imageName string, sourceUrl string, note string")
+    body = F.from_json(F.col("content").cast("string"), "version int, imageName string, sourceUrl string, title string")
     path = _plain(F.col("path"))
-    read = sidecars.filter(F.col("length") <= MAX_SIDECAR_BYTES).select(F.regexp_replace(path, re.escape(f".{suffix}.json") + "$", "").alias("stem"), path.endswith(f".{suffix}.json").alias("ok"), body.alias("b"))
-    read = read.filter(F.col("ok") & (F.col("b.version") == 1)).select("stem", F.col("b.imageName").alias("name"), F.col("b.sourceUrl").alias("new_url"), F.col("b.note").alias("new_note")).dropDuplicates(["stem", "name"])
+    read = sidecars.filter(F.col("length") <= MAX_SIDECAR_BYTES).filter(path.endswith(f".{suffix}.json")).select(F.regexp_replace(path, re.escape(f".{suffix}.json") + "$", "").alias("stem"), body.alias("b"))
+    url = F.trim("b.sourceUrl")
+    storable = (F.octet_length(url) <= 8192) & url.rlike(r"^(?i:https?)://[^/?#@\s]+([/?#]|$)")
+    read = read.filter((F.col("b.version") == 1) & storable & F.col("b.title").isNotNull())
+    read = read.select("stem", F.col("b.imageName").alias("name"), url.alias("new_url"), F.concat(F.lit("Captured page: "), "b.title").alias("new_note")).dropDuplicates(["stem", "name"])
     rows = catalog.withColumn("stem", F.regexp_replace(_plain(F.col("path")), r"\.[^./]*$", "")).join(read, ["stem", "name"], "left")
     fill = lambda old, new: F.when((F.coalesce(F.col(old), F.lit("")) == "") & F.col(new).isNotNull(), F.col(new)).otherwise(F.col(old))
     return rows.withColumns({"source_url": fill("source_url", "new_url"), "note": fill("note", "new_note")}).select(*catalog.columns)

@@ -24,6 +24,18 @@ def test_scan_follows_the_folder_rules(spark, tmp_path):
     assert set(got) == {"/a.png", "/sub/B.JPG"} and got["/a.png"]["folder"] == root and got["/a.png"]["size"] == 1
 
 
+def test_folders_never_entered(spark):
+    rows = spark.createDataFrame([("C:/Windows/x.png",), ("C:/a/Windows/x.png",), ("C:/a/Node_Modules/b/x.png",), ("C:/a/$r/x.png",), ("C:/x.png",)], "path string")
+    assert [r[0] for r in rows.select(skipped(F.col("path"), "C:")).collect()] == [True, False, True, True, False]
+    assert [r[0] for r in rows.select(skipped(F.col("path"), "C:/a")).collect()] == [True, False, True, True, True]
+
+
+def test_checksums(spark):
+    rows = spark.createDataFrame([("/m/a.bin", b"abc"), ("/m/b.bin", b"x")], "path string, content binary")
+    sums = spark.createDataFrame([("a.bin", "BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD"), ("b.bin", "00")], "name string, sha256 string")
+    assert {r["path"]: r["ok"] for r in files.verified(rows, sums).collect()} == {"/m/a.bin": True, "/m/b.bin": False}
+
+
 def test_roots(spark):
     rows = spark.createDataFrame([("/a/x.png",), ("/a/b/x.png",), ("/ab/x.png",), ("/a/out/x.png",)], "path string")
     got = [r[0] for r in rows.select(root_of(F.col("path"), ["/a", "/a/b"], ["/a/out"])).collect()]
@@ -44,10 +56,10 @@ def test_incomplete_roots_lose_nothing(spark):
 
 def test_sidecars_fill_empty_fields_only(spark):
     catalog = conform(spark.createDataFrame([(1, "/a/one.png", "one.png", ""), (2, "/a/two.png", "two.png", "mine"), (3, "/a/three.png", "three.png", "")], "id long, path string, name string, note string"))
-    body = lambda name, v=1: json.dumps({"version": v, "imageName": name, "sourceUrl": f"https://x/{name}", "note": "new"}).encode()
+    body = lambda name, v=1: json.dumps({"version": v, "imageName": name, "sourceUrl": f"https://x/{name}", "title": "T"}).encode()
     cars = [("/a/one.cap.json", 10, body("one.png")), ("/a/two.cap.json", 10, body("two.png")), ("/a/three.cap.json", 10, body("other.png"))]
     got = {r["id"]: (r["source_url"], r["note"]) for r in import_sidecars(catalog, spark.createDataFrame(cars, "path string, length long, content binary"), "cap").collect()}
-    assert got == {1: ("https://x/one.png", "new"), 2: ("https://x/two.png", "mine"), 3: ("", "")}
+    assert got == {1: ("https://x/one.png", "Captured page: T"), 2: ("https://x/two.png", "mine"), 3: ("", "")}
 
 
 def test_export(spark, tmp_path):
