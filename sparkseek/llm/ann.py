@@ -4,8 +4,8 @@ Vectors get one more component that makes all of equal length (so the largest in
 the smallest distance), and a bounded sample of them is halved along its main direction again
 and again, which gives balanced cells; their means are the centroids. A graph of near centroids is
 held in memory and searched by beam. Every vector goes to the list of its nearest centroid, and a
-boundary vector to further lists whose distance is within REPLICA_RATIO of the nearest, if the
-relative neighbourhood rule lets it. A query reads the lists whose centroid distance is within a
+boundary vector also to the next lists, up to REPLICAS in all, whose distance is within
+REPLICA_RATIO of the nearest. A query reads the lists whose centroid distance is within a
 ratio of its nearest centroid's. That ratio is calibrated on the sample, against brute force
 there, to reach TARGET_RECALL.
 
@@ -135,10 +135,6 @@ class Router:
         ids, d = self.nearest(_even(v, self.most), max(8, 2 * REPLICAS))
         ids, d = ids[:, :REPLICAS], d[:, :REPLICAS]
         keep = d <= REPLICA_RATIO * d[:, :1]
-        for j in range(1, ids.shape[1]):  # not if a list that has the row is nearer to this centroid than the row is
-            for i in range(j):
-                between = np.linalg.norm(self.centroids[ids[:, i]] - self.centroids[ids[:, j]], axis=1)
-                keep[:, j] &= ~keep[:, i] | (d[:, j] <= between)
         keep &= np.isfinite(d)
         return ids, keep
 
