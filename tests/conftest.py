@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', 8)}]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))  # compiling takes longer than these tables do
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
