@@ -76,8 +76,8 @@ def _targets(cells: DataFrame, margin: str, given: DataFrame | None, temperature
     else:
         named = given.select(F.coalesce(F.col(given.columns[0]).cast("string"), F.lit(_NULL)).alias(margin), F.col(given.columns[1]).cast("double").alias("raw"))
         raw = own.join(named.filter(F.col("raw") > 0), margin).select(margin, "raw")
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.join(F.broadcast(total)).select(margin, (F.col("raw") / F.col("total")).alias("target"))
+    total = raw.agg(F.sum("raw")).first()[0] or 1.0
+    return raw.select(margin, (F.col("raw") / F.lit(float(total))).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
