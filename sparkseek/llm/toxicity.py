@@ -126,7 +126,9 @@ def fit(texts: list[str | None], labels: np.ndarray, feature_count: int = FEATUR
     if not toxic or not clean:
         share = float(labels.mean()) if len(labels) else 0.0
         return Classifier([], np.empty(0), float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
-    bags = [set(_WORD.findall((t or "").lower())) for t in texts]
+    pool: dict[str, str] = {}  # one object for each word, as most stand in many texts
+    bags = [tuple({pool.setdefault(w, w) for w in _WORD.findall((t or "").lower())}) for t in texts]
+    del pool
     frequency: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for bag, label in zip(bags, labels):
         frequency[int(label)].update({f for word in bag for f in features_of(word)})
