@@ -145,17 +145,19 @@ class Router:
 
     def calibrate(self, v: np.ndarray, k: int) -> None:
         """Sets the ratio and the beam so that the wanted share of true neighbours within v is read."""
-        q = v[:: max(1, len(v) // CALIBRATION_QUERIES)]
-        ids, keep = self.lists_of(v)
+        chosen = np.arange(0, len(v), max(1, len(v) // CALIBRATION_QUERIES))
+        q = v[chosen]
+        routed = [self.lists_of(v[i : i + 1024]) for i in range(0, len(v), 1024)]
+        ids, keep = (np.concatenate(x) for x in zip(*routed))
         d = _distances(np.column_stack([q, np.zeros(len(q))]), self.centroids)
         ratios = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12)
-        scores = q @ v.T
-        scores[np.arange(len(q)), np.arange(0, len(v), max(1, len(v) // CALIBRATION_QUERIES))[: len(q)]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, max(1, len(v) - 1))]
-        need = np.full(best.shape, np.inf)
-        for j in range(ids.shape[1]):
-            hit = np.take_along_axis(ratios, ids[best, j], axis=1)
-            need = np.minimum(need, np.where(keep[best, j], hit, np.inf))
+        k = min(k, max(1, len(v) - 1))
+        need = np.full((len(q), k), np.inf)
+        for n, own in enumerate(chosen):  # one query at a time, as all scores at once would not be small
+            scores = v @ q[n]
+            scores[own] = -np.inf
+            best = np.argsort(-scores, kind="stable")[:k]
+            need[n] = np.where(keep[best], ratios[n][ids[best]], np.inf).min(axis=1)
         self.ratio = float(np.quantile(need, TARGET_RECALL, method="higher")) * (1 + 1e-9)
         self.beam = int(min(len(self.centroids), max(8, 1.1 * (ratios <= self.ratio).sum(axis=1).max())))
 
