@@ -10,8 +10,9 @@ ratio of its nearest centroid's. That ratio is calibrated on the sample, against
 there, to reach TARGET_RECALL.
 
 Only the centroids come from a sample (SAMPLE_ROWS); every row is in the index and every query is
-answered. A list is read in blocks of about BLOCK_ROWS rows, and its queries in blocks too, so
-neither a hot list nor a hot query group lands in one task. Scores are inner products of the
+answered. Small lists that follow each other are read in one task of about BLOCK_ROWS rows, which
+passes on the k best of each query; a large list is read in blocks of as many, and its queries in
+blocks too, so neither a hot list nor a hot query group lands in one task. Scores are inner products of the
 original components in double precision; ties go to the smaller id.
 
 Defined cases: vectors that are null, empty or zero, hold a null or non-finite component, or have
@@ -212,13 +213,21 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarr
 
 def _scorer(k: int):
     def score(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy().astype(bool)
+        asks, lists = table.column("asks").to_numpy().astype(bool), table.column("list").to_numpy()
         ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
-        if asks.all() or not asks.any():
-            found = ids[:0], ids[:0], np.empty(0)
-        else:
-            found = best_in_block(ids[asks], v[asks], ids[~asks], v[~asks], k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+        parts = [(ids[:0], ids[:0], np.empty(0))]
+        for name in np.unique(lists[asks]):
+            q, own = np.flatnonzero(asks & (lists == name)), np.flatnonzero(~asks & (lists == name))
+            if len(own):
+                parts.append(best_in_block(ids[q], v[q], ids[own], v[own], k))
+        query, found, scores = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((found, -scores, query))
+        query, found, scores = query[order], found[order], scores[order]
+        new = np.ones(len(query), dtype=bool)  # a replica in another list of the task is the same neighbour
+        new[1:] = (query[1:] != query[:-1]) | (found[1:] != found[:-1])
+        query, found, scores = query[new], found[new], scores[new]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.table({"query_id": query[top], "vec_id": found[top], "score": scores[top]})
 
     return score
 
@@ -251,12 +260,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     lists = cut(rows.mapInArrow(partial(_route, sent=sent, queries=False), schema))
     asks = cut(rows.filter(is_query).mapInArrow(partial(_route, sent=sent, queries=True), schema))
     grid = lists.groupBy("list").agg(F.count("*").alias("n")).join(asks.groupBy("list").agg(F.count("*").alias("q")), "list")
-    grid = F.broadcast(cut(grid.select("list", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("rows"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("cols"))))  # at most MAX_LISTS rows
+    blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    before = F.sum(F.least("n", F.lit(BLOCK_ROWS))).over(Window.orderBy("list"))  # at most MAX_LISTS rows
+    grid = grid.select("list", F.floor(before / BLOCK_ROWS).cast("int").alias("task"), blocks("n", BLOCK_ROWS).alias("rows"), blocks("q", BLOCK_QUERIES).alias("cols"))
+    grid = F.broadcast(cut(grid))
     slot = F.xxhash64("id", F.lit("grid"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lists = lists.join(grid, "list").select("list", F.pmod(slot, F.col("rows")).cast("int").alias("row"), each("cols").alias("col"), F.lit(False).alias("asks"), "id", "v")
-    asks = asks.join(grid, "list").select("list", each("rows").alias("row"), F.pmod(slot, F.col("cols")).cast("int").alias("col"), F.lit(True).alias("asks"), "id", "v")
-    found = lists.unionByName(asks).groupBy("list", "row", "col").applyInArrow(_scorer(k), "query_id long, vec_id long, score double")
+    lists = lists.join(grid, "list").select("task", "list", F.pmod(slot, F.col("rows")).cast("int").alias("row"), each("cols").alias("col"), F.lit(False).alias("asks"), "id", "v")
+    asks = asks.join(grid, "list").select("task", "list", each("rows").alias("row"), F.pmod(slot, F.col("cols")).cast("int").alias("col"), F.lit(True).alias("asks"), "id", "v")
+    found = lists.unionByName(asks).groupBy("task", "row", "col").applyInArrow(_scorer(k), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.dense_rank().over(by)).filter(F.col("rank") <= k)  # a replica ranks like its other copy
     return ranked.select("query_id", "rank", "vec_id", "score").dropDuplicates(["query_id", "rank"])
