@@ -17,8 +17,8 @@ from sparkseek.llm.common import checkpoint_folder, load
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
-    found = langid.identify(docs.withColumn("_kept", F.struct(*docs.columns)).select("_kept", "text"), langid.train(docs))
-    return found.filter(~F.col("rejected")).select("_kept.*")
+    found = langid.identify(docs, langid.train(docs), prefix="_language_")
+    return found.filter(~F.col("_language_rejected")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,26 +291,35 @@ def _calibrate(model: Model, rows: DataFrame, text: str, lang: str, doc_id: str,
     model.calibrate(seen["entropy"].to_numpy(), seen["lang"].to_numpy(), seen["n"].to_numpy(), slack)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+_OUT = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "rejected": "boolean"}
+
+
+def _predict(batches: Iterator[pa.RecordBatch], sent, text: int, kept: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = sent.value
     for batch in batches:
-        lang, score, entropy, rejected = model.predict(batch.column(batch.num_columns - 1).to_pylist())
+        lang, score, entropy, rejected = model.predict(batch.column(text).to_pylist())
         found = [pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(rejected)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *found], names=[*batch.schema.names[:kept], *names])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The kept columns of docs (all, if not named) with lang_pred, score, cross_entropy and rejected.
+
+    The prefix stands before these names; columns of docs with such a name are replaced.
+    """
+    out = {f"{prefix}{c}": t for c, t in _OUT.items()}
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in out]
     if model is None:
-        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        values = (F.lit("und"), F.lit(0.0), F.lit(None).cast("double"), F.lit(True))
+        return docs.select(*kept, *(v.alias(c) for c, v in zip(out, values)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return rows.mapInArrow(partial(_predict, sent=sent), schema)
+    carried = text in kept and dict(docs.dtypes)[text] == "string"  # then the text need not be sent twice
+    rows = docs.select(*kept) if carried else docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*docs.select(*kept).dtypes, *out.items()])
+    return rows.mapInArrow(partial(_predict, sent=sent, text=kept.index(text) if carried else len(kept), kept=len(kept), names=list(out)), schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), train(docs), "text")
+    found = identify(docs, train(docs), keep=["doc_id"])
     return found.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
