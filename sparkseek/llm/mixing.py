@@ -2,10 +2,14 @@
 
 Tokens are summed in cells of (source, language, topic). The cells' weights are raked in turn to
 each target marginal until every marginal is within TOLERANCE of its target, or for MAX_ROUNDS
-rounds. A document's factor is its cell's raked share over its share of all tokens, and its
-probability to be sampled is the factor over the largest factor, so the expected token shares of
-the sample meet the targets and as many tokens as possible stay. A hash of the id decides, so the
-sample is the same whenever and wherever it is drawn.
+rounds. A document's factor is its cell's raked share over its share of all tokens. A hash of the
+id decides what is sampled, so the sample is the same whenever and wherever it is drawn.
+
+One size is set for the sample: the largest of which cells, kept whole, would miss at most MISS in
+all, but no less than KEEP of the tokens in cells that the targets name. A cell that would need more
+tokens than it has is kept whole, what it lacks is left to the others, and those are raked again,
+until no further cell is full. So the probabilities are the same multiple of the factors where no
+cell is full, and rare cells don't set the size of the sample.
 
 Targets default to the observed shares raised to TEMPERATURE and scaled to 1 for each of the
 three, which lifts rare values and lowers dominant ones. A caller may give a table of targets
@@ -38,6 +42,9 @@ from sparkseek.llm.common import cut, load, unit
 TEMPERATURE = {"source": 0.7, "lang": 0.9, "topic": 1.0}
 TOLERANCE = 1e-6
 MAX_ROUNDS = 50
+#: The share of the named tokens that is sampled at least, and the share of the sample that full cells may lack beyond that.
+KEEP = 0.5
+MISS = 0.01
 #: Cells of a partition while raking, and raking rounds of one job.
 SLICE_CELLS = 20_000
 ROUNDS_AT_ONCE = 4
@@ -105,7 +112,45 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUN
     return now.select(*cells.columns, "share")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] = TEMPERATURE, seed: str = "mix") -> DataFrame:
+def sample_size(cells: DataFrame, keep: float = KEEP, miss: float = MISS) -> float:
+    """The share of all tokens to sample, from cells (supply, share).
+
+    What full cells lack, as a share of the sample, is convex in the inverse of its size and made of
+    straight pieces, so Newton's steps from the largest size end after finitely many at the answer.
+    """
+    named = float(cells.filter("share > 0").agg(F.sum("supply")).first()[0] or 1.0)
+    size = named
+    while True:
+        short = F.col("share") * size > F.col("supply")
+        want, have = cells.filter(short).agg(F.coalesce(F.sum("share"), F.lit(0.0)), F.coalesce(F.sum("supply"), F.lit(0.0))).first()
+        if want - have / size <= miss + 1e-9:
+            break
+        size = have / (want - miss)
+    return max(size, keep * named)
+
+
+def allot(cells: DataFrame, size: float) -> DataFrame:
+    """(the margins, keep_probability) for a sample of this size, from cells (supply, share)."""
+    keys = [c for c in cells.columns if c not in ("supply", "share")]
+    full = F.col("kept") > F.col("supply") * (1 + 10 * TOLERANCE)
+    free = cut(cells.select(*keys, "supply", (F.col("share") * size).alias("kept")))
+    done, left = [], size
+    while not free.filter(full).isEmpty():
+        done.append(free.filter(full).select(*keys, F.lit(1.0).alias("keep_probability")))
+        left -= free.filter(full).agg(F.sum("supply")).first()[0]
+        rest = free.filter(~full)
+        goals = {}
+        for m in keys:
+            own = free.groupBy(m).agg((F.sum("kept") - F.sum(F.when(full, F.col("supply")).otherwise(0.0))).alias("raw"), F.max(F.when(full, 0.0).otherwise(F.col("kept"))).alias("open"))
+            own = cut(own.filter((F.col("open") > 0) & (F.col("raw") > 0)).select(m, "raw"))
+            goals[m] = own.select(m, (F.col("raw") / F.lit(float(own.agg(F.sum("raw")).first()[0] or 1.0))).alias("target"))
+        raked = rake(rest.select(*keys, "supply", F.col("kept").alias("tokens")), goals)
+        free = cut(raked.select(*keys, "supply", (F.col("share") * max(0.0, left)).alias("kept")))
+    done.append(free.select(*keys, F.least(F.col("kept") / F.col("supply"), F.lit(1.0)).alias("keep_probability")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] = TEMPERATURE, seed: str = "mix", keep: float = KEEP, miss: float = MISS) -> DataFrame:
     """docs with topic, n_tokens, factor, keep_probability, draw and sampled."""
     kept = [c for c in docs.columns if c not in _OUT or c == topic]
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
@@ -115,13 +160,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     goals = {f"_{m}": cut(_targets(cells, f"_{m}", (targets or {}).get(m), temperature[m])) for m in MARGINS}
     raked = rake(cells, goals)
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
+    supply = cut(raked.filter("tokens > 0").select(*keys, (F.col("tokens") / total).alias("supply"), "share"))
+    kept_share = allot(supply, sample_size(supply, keep, miss))
     factors = raked.select(*keys, F.when(F.col("tokens") > 0, F.col("share") * total / F.col("tokens")).alias("factor"))
-    factors = cut(factors)
+    factors = cut(factors.join(kept_share, keys, "left"))
     if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
-    top = float(factors.agg(F.max("factor")).first()[0] or 1.0)
     draw = unit(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL)), F.lit(seed))
-    out = rows.join(factors, keys).withColumn("keep_probability", F.coalesce(F.least(F.col("factor") / F.lit(top), F.lit(1.0)), F.lit(1.0))).withColumn("draw", draw)
+    out = rows.join(factors, keys).withColumn("keep_probability", F.coalesce("keep_probability", F.lit(1.0))).withColumn("draw", draw)
     return out.select(*(c for c in kept if c != "topic"), F.col("_topic").alias("topic"), "n_tokens", "factor", "keep_probability", "draw", (F.col("draw") < F.col("keep_probability")).alias("sampled"))
 
 

@@ -140,6 +140,24 @@ def test_mixing_meets_its_targets(spark):
     assert again.columns == docs.columns and {r["doc_id"] for r in again.collect()} == set(sampled["doc_id"])
 
 
+def test_a_rare_source_is_kept_whole_and_shrinks_no_other(spark):
+    rows = [(i, "w " * 50, "en", f"s{i % 4}", 0) for i in range(2000)]
+    rare = spark.createDataFrame([*rows, (9999, "w " * 10, "en", None, 0)], DOCS)
+    got = mixing.mix(rare).toPandas()
+    assert got[got["source"].isna()]["keep_probability"].item() == 1.0
+    expected = (got["n_tokens"] * got["keep_probability"]).sum() / got["n_tokens"].sum()
+    assert expected > 0.95 and got["sampled"].mean() > 0.9
+
+
+def test_full_cells_leave_the_targets_to_the_others(spark):
+    rows = [(i, "w " * 10, ["en", "de"][i % 2], "big" if i % 10 else f"s{i % 20}", 0) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), temperature={"source": 0.0, "lang": 1.0, "topic": 1.0}, keep=0.5, miss=0.0).toPandas()
+    weight = got["n_tokens"] * got["keep_probability"]
+    assert weight.sum() / got["n_tokens"].sum() == pytest.approx(0.5, abs=1e-4)
+    assert (got[got["source"] != "big"]["keep_probability"] > 1 - 1e-4).all()
+    assert (weight.groupby(got["lang"]).sum() / weight.sum())["en"] == pytest.approx(0.5, abs=1e-3)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     docs = spark.createDataFrame([(None, None, None, None, 1), (1, "", None, "s", 1), (1, "", None, "s", 1)], DOCS).withColumn("topic", F.lit("clash"))
