@@ -14,8 +14,8 @@ the id): a text is rejected if its cross-entropy lies further above its language
 than SLACK times the largest such distance seen in the sample, where a distance is scaled by the
 root of the length. It is also rejected if it has no letter.
 
-The model's size is bounded: if more than MAX_GRAMS (language, 4-gram) pairs exist, the rarest
-are left out, by the smallest count that keeps the rest within it. Discounts still come from all.
+All 4-grams are kept, so discounts and continuation counts come from all, and no language is lost;
+the model grows with the distinct (language, 4-gram) pairs of the corpus.
 
 Defined cases: a null text and a text without a letter get ``und``, score 0 and are rejected; rows
 with a null language teach nothing; ties go to the language that sorts first; with no row to
@@ -29,13 +29,13 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut, load, training_row
 
 ORDER = 4
-MAX_GRAMS = 1_000_000
 CALIBRATION_ROWS = 20_000
 SLACK = 2.5
 #: Characters that one step of the scorer or counter holds.
@@ -247,24 +247,19 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, some)], score, low, rejected
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS, slack: float = SLACK) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS, slack: float = SLACK) -> Model | None:
     """A model of the languages of docs, from rows that may be learnt from; None if there are none."""
     rows = docs.filter(training_row(F.col(doc_id)) & F.col(lang).isNotNull())
     counted = cut(gram_counts(rows, text, lang))
-    sizes = {r["c"]: r["k"] for r in counted.groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()}
-    left, least = sum(sizes.values()), 1
-    while left > max_grams and least < 1000:
-        left -= sizes.get(least, 0)
-        least += 1
-    table = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "lang", "gram").limit(max_grams) if left > max_grams else counted.filter(F.col("n") >= least)
-    table = table.toArrow()
+    table = counted.toArrow()
     if not table.num_rows:
         return None
-    names, grams, counts = np.array(table["lang"].to_pylist(), dtype=object), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    langs = sorted(set(names))
-    order = np.argsort(grams)
-    names, grams, counts = names[order], grams[order], counts[order]
-    model = Model(langs, [grams[names == x] for x in langs], [counts[names == x] for x in langs])
+    langs = sorted(table["lang"].unique().to_pylist())
+    codes = pc.index_in(table["lang"], value_set=pa.array(langs, table["lang"].type)).to_numpy()
+    grams, counts = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.lexsort((grams, codes))
+    bounds = np.searchsorted(codes[order], np.arange(1, len(langs)))
+    model = Model(langs, np.split(grams[order], bounds), np.split(counts[order], bounds))
     _calibrate(model, rows, text, lang, doc_id, calibration_rows, slack)
     return model
 

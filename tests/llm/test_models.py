@@ -50,6 +50,14 @@ def test_languages_are_told_apart(spark):
     assert rows[903]["lang_pred"] == "aa" and set(docs.columns) <= set(got.columns)
 
 
+def test_a_small_language_beside_more_than_a_million_grams(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x8E00, 20_000))), "zh") for i in range(80)]
+    rows += [(1000 + i, f"{w}q once", "xx") for i, w in enumerate(["abc", "defg", "hijk", "lmno", "prst", "uvwy"])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert model.langs == ["xx", "zh"] and len(model.grams[langid.ORDER].hashes) > 1_000_000
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s", "x")], DOCS)
     assert langid.train(docs) is None and langid.identify(docs, None).first()["lang_pred"] == "und"
