@@ -9,10 +9,11 @@ all languages together with a matrix of log-probabilities, and a like pair for c
 weights of the lower order. A text's language is the one with the lowest cross-entropy per
 character.
 
-Rejection is calibrated on a bounded sample of the training rows (CALIBRATION_ROWS, by hash of
-the id): a text is rejected if its cross-entropy lies further above its language's usual value
-than SLACK times the largest such distance seen in the sample, where a distance is scaled by the
-root of the length. It is also rejected if it has no letter.
+Rejection is calibrated on all training rows whose language the models find: a text is rejected if
+its cross-entropy lies further above its language's usual value (the median) than SLACK times the
+distance that a share QUANTILE of its language's rows stay within, where a distance is scaled by the
+root of the length. A language with fewer than LEAST_ROWS such rows takes this distance from the rows
+of all languages, and one without any the usual value, too. A text without a letter is also rejected.
 
 All 4-grams are kept, so discounts and continuation counts come from all, and no language is lost;
 the model grows with the distinct (language, 4-gram) pairs of the corpus.
@@ -30,14 +31,17 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut, load, training_row
 
 ORDER = 4
-CALIBRATION_ROWS = 20_000
 SLACK = 2.5
+QUANTILE = 0.999
+LEAST_ROWS = 1000
+#: Bins in which calibration counts a unit of cross-entropy and of distance.
+ENTROPY_BINS, DISTANCE_BINS = 1000, 100
 #: Characters that one step of the scorer or counter holds.
 STEP = 1 << 20
 _SPACE = 32
@@ -227,13 +231,6 @@ class Model:
     def distance(self, entropy: np.ndarray, lang: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return (entropy - self.usual[lang]) * np.sqrt(np.minimum(lengths, 400))
 
-    def calibrate(self, entropy: np.ndarray, lang: np.ndarray, lengths: np.ndarray, slack: float) -> None:
-        """Sets each language's usual value and limit from rows known to be in it."""
-        for i in range(len(self.langs)):
-            if (own := lang == i).any():
-                self.usual[i] = np.median(entropy[own])
-                self.limit[i] = slack * max(0.0, self.distance(entropy[own], lang[own], lengths[own]).max()) + 1e-9
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) of each text."""
         h, n = self.entropies(texts)
@@ -247,7 +244,7 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, some)], score, low, rejected
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS, slack: float = SLACK) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", slack: float = SLACK) -> Model | None:
     """A model of the languages of docs, from rows that may be learnt from; None if there are none."""
     rows = docs.filter(training_row(F.col(doc_id)) & F.col(lang).isNotNull())
     counted = cut(gram_counts(rows, text, lang))
@@ -260,15 +257,27 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     order = np.lexsort((grams, codes))
     bounds = np.searchsorted(codes[order], np.arange(1, len(langs)))
     model = Model(langs, np.split(grams[order], bounds), np.split(counts[order], bounds))
-    _calibrate(model, rows, text, lang, doc_id, calibration_rows, slack)
+    _calibrate(model, rows, text, lang, slack)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, text: str, lang: str, doc_id: str, most: int, slack: float) -> None:
+def _quantiles(measured: DataFrame, value: Column, bins: int, share: float) -> tuple[dict[int, float], dict[int, int]]:
+    """(quantile, rows) of the value by language, exact to a bin; -1 stands for all languages together."""
+    counted = measured.groupBy("lang", F.floor(value * bins).alias("bin")).agg(F.count("*").alias("k")).toArrow()
+    lang, at, k = (counted[c].to_numpy() for c in ("lang", "bin", "k"))
+    found, rows = {}, {}
+    for i in [-1, *np.unique(lang).tolist()] if len(k) else []:
+        own = np.flatnonzero(lang == i) if i >= 0 else np.arange(len(k))
+        own = own[np.argsort(at[own], kind="stable")]
+        upto = np.cumsum(k[own])
+        rows[i] = int(upto[-1])
+        found[i] = float((at[own[np.searchsorted(upto, share * upto[-1])]] + 1) / bins)
+    return found, rows
+
+
+def _calibrate(model: Model, rows: DataFrame, text: str, lang: str, slack: float) -> None:
+    """Sets each language's usual value and limit from all rows known to be in it."""
     spark = rows.sparkSession
-    total = rows.count()
-    share = min(1.0, most / max(1, total))
-    sample = rows.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +291,15 @@ def _calibrate(model: Model, rows: DataFrame, text: str, lang: str, doc_id: str,
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(h[ok, own[ok]]), pa.array(n[ok])], names=["lang", "entropy", "n"])
 
     columns = (F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    seen = sample.select(*columns).mapInArrow(measure, "lang long, entropy double, n long").limit(2 * most).toArrow()
-    model.calibrate(seen["entropy"].to_numpy(), seen["lang"].to_numpy(), seen["n"].to_numpy(), slack)
+    seen = cut(rows.select(*columns).mapInArrow(measure, "lang long, entropy double, n long"))
+    everywhere = range(len(model.langs))
+    usual, n_rows = _quantiles(seen, F.col("entropy"), ENTROPY_BINS, 0.5)
+    model.usual[:] = [usual.get(i, usual.get(-1, -model.floor)) for i in everywhere]
+    above = (F.col("entropy") - F.element_at(F.lit(model.usual.tolist()), (F.col("lang") + 1).cast("int"))) * F.sqrt(F.least("n", F.lit(400)))
+    far, _ = _quantiles(seen, above, DISTANCE_BINS, QUANTILE)
+    reach = [far[i] if n_rows.get(i, 0) >= LEAST_ROWS else far.get(-1, 0.0) for i in everywhere]
+    model.limit[:] = [slack * max(0.0, x) + 1e-9 for x in reach]
+    sent.destroy()
 
 
 _OUT = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "rejected": "boolean"}

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -58,6 +59,17 @@ def test_a_small_language_beside_more_than_a_million_grams(spark):
     assert model.langs == ["xx", "zh"] and len(model.grams[langid.ORDER].hashes) > 1_000_000
 
 
+def test_limits_are_finite_and_one_odd_row_opens_none(spark):
+    words = ["water", "house", "green", "river", "small", "stone"]
+    text = lambda i: " ".join(words[(i * k + k) % 6] for k in range(3, 23))
+    odd = "zqxjk vwqzx kqjzv xzqwk jvqxz qkzjx wvzqk xjqkz"
+    learnt = [i for i in range(2000, 2010) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, text(i), "en") for i in range(2500)] + [(learnt[0], odd, "en"), (learnt[1], "same words here", "one"), (learnt[2], "same words here", "two")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "one", "two"] and np.isfinite(model.limit).all()
+    assert model.predict([text(7), odd[::-1]])[3].tolist() == [False, True]
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s", "x")], DOCS)
     assert langid.train(docs) is None and langid.identify(docs, None).first()["lang_pred"] == "und"
