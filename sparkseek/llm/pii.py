@@ -4,7 +4,7 @@ Four patterns find the seeds, which are the base spans: e-mail addresses, IP add
 cards (Luhn) and phone numbers. The method then learns contexts. An instance is a token that
 could be an identifier (digits in it, six characters or more); its lexical pattern is the pair of
 the word before it and its shape (runs of digits, of letters, and other characters as they are,
-with lengths). Patterns and instances form a graph over the whole corpus. Instances that are
+with lengths); a word before it with digits stands as its shape. Patterns and instances form a graph over the whole corpus. Instances that are
 seeds weigh 1 and others 0 at first; in each of ROUNDS rounds a pattern's score is the weight of
 its distinct instances over their number plus SMOOTH, and another instance's weight is the largest
 score of its patterns. Patterns that score CONFIDENT or more with SUPPORT distinct seeds or more
@@ -34,8 +34,10 @@ IP_HINT = r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
 # A chain of digits is maximal where it is found, so asking for 13 drops short chains only.
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: An identifier-like token, with the word before it as its first group.
-INSTANCE = r"(?:(?<![^\s])([^\s]{1,40})\s{1,3})?(?<![^\s])[^\s]*[0-9][^\s]*"
+#: A token with digits.
+TOKEN = r"(?<![^\s])[^\s]*[0-9][^\s]*"
+#: The last token of a text.
+LAST = r"(?<![^\s])([^\s]++)\s*\z"
 ROUNDS = 3
 SMOOTH = 1.0
 CONFIDENT = 0.6
@@ -75,18 +77,33 @@ def shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "9{10,}", "9+"), "a{3,}", "a+")
 
 
+def with_word_before(text: Column) -> Column:
+    """The tokens with digits as spans whose part is the token before, whatever its length and the gap.
+
+    That is the last token of the piece between two matches, or else the match before.
+    """
+    test = F.coalesce(text.rlike("[0-9]"), F.lit(False))
+    found = spans_where(test, text, TOKEN)
+    pieces = F.when(test, F.split(text, TOKEN)).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.slice(pieces, 1, F.size(found)), lambda p: F.regexp_extract(p, LAST, 1))
+    before = F.slice(F.concat(F.array(F.lit("")), F.transform(found, lambda s: s["match"])), 1, F.size(found))
+    each = F.arrays_zip(found.alias("s"), words.alias("word"), before.alias("before"))
+    return F.transform(each, lambda x: F.struct(x["s"]["begin"].alias("begin"), x["s"]["end"].alias("end"), x["s"]["match"].alias("match"), F.when(x["word"] != "", x["word"]).otherwise(x["before"]).alias("part")))
+
+
 def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per row of docs: a row number, the kept columns, base spans, and instances with patterns."""
     t = F.col(text).cast("string")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, *(c.alias(f"_{k}") for k, c in base_spans(t).items()), spans_where(t.rlike("[0-9]"), t, INSTANCE, 1).alias("_tokens"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, *(c.alias(f"_{k}") for k, c in base_spans(t).items()), with_word_before(t).alias("_tokens"))
     base = F.concat(*(F.col(f"_{k}") for k in KINDS))
 
     def instance(s: Column) -> Column:
-        raw = F.regexp_extract(s["match"], r"[^\s]*$", 0)
+        raw = s["match"]
         trimmed = F.regexp_replace(raw, r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
-        begin = s["end"] - F.length(raw) + F.length(raw) - F.length(F.regexp_replace(raw, r"^[^\p{L}0-9+]+", ""))
+        begin = s["end"] - F.length(F.regexp_replace(raw, r"^[^\p{L}0-9+]+", ""))
         end = begin + F.length(trimmed)
         word = F.lower(F.regexp_replace(s["part"], r"^[^\p{L}0-9]+|[^\p{L}0-9:=#]+$", ""))
+        word = F.when(word.rlike("[0-9]"), shape(word)).otherwise(word)
         seed = F.exists(base, lambda b: (begin < b["end"]) & (b["begin"] < end))
         return F.struct(begin.alias("begin"), end.alias("end"), F.concat_ws(" ", word, shape(trimmed)).alias("pattern"), F.xxhash64(trimmed).alias("instance"), seed.alias("seed"))
 

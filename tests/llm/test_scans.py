@@ -111,6 +111,17 @@ def test_contexts_find_what_patterns_miss(spark):
     assert scores["p"]["score"] > 0.6 > scores["q"]["score"] and scores["p"]["seeds"] == 8
 
 
+def test_every_token_with_digits_is_an_instance(spark):
+    long = "w" * 50
+    texts = ["ids 123-45-6789 987-65-4321 111-22-3333 222-33-4444", f"{long}      1234567", "1234567\n and 7654321", None, "none"]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", ["doc_id"]).collect()
+    got = {r["doc_id"]: [(s["begin"], s["end"], s["pattern"]) for s in r["_tokens"]] for r in rows}
+    ssn = "999-99-9999"
+    assert got[0] == [(4, 15, f"ids {ssn}"), (16, 27, f"{ssn} {ssn}"), (28, 39, f"{ssn} {ssn}"), (40, 51, f"{ssn} {ssn}")]
+    assert got[1] == [(56, 63, f"{long} 9999999")]
+    assert got[2] == [(0, 7, " 9999999"), (13, 20, "and 9999999")] and got[3] == got[4] == []
+
+
 def test_digests_and_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     assert secret_scan.find_secrets(none.withColumn("repository", F.col("source"))).count() == 0
