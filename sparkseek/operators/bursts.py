@@ -60,23 +60,16 @@ def best_neighbours(catalog: DataFrame) -> DataFrame:
     return ranked.filter(F.col("_n") == 1).select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "score")
 
 
-def burst_components(catalog: DataFrame, rounds: int = 30) -> DataFrame:
+def burst_components(catalog: DataFrame) -> DataFrame:
     """(id, group_id): rows that chains of alike pairs connect; the group has its smallest id.
 
-    Labels spread along pairs and then along themselves, which halves chains, until none changes.
+    Pairs are contracted until none is left, which shrinks long chains by a constant factor a round.
     """
-    pairs = burst_pairs(catalog).select("a", "b").persist()
-    labels = pairs.select(F.col("a").alias("id")).distinct().withColumn("group_id", F.col("id"))
-    for _ in range(rounds):
-        near = pairs.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group_id").alias("near"))
-        spread = labels.join(near, "id").select("id", F.least("group_id", "near").alias("to"), "group_id")
-        jump = labels.select(F.col("id").alias("to"), F.col("group_id").alias("further"))
-        moved = spread.join(jump, "to").select("id", F.least("to", "further").alias("new"), "group_id").checkpoint()
-        labels = moved.select("id", F.col("new").alias("group_id"))
-        if moved.filter(F.col("new") != F.col("group_id")).isEmpty():
-            break
-    pairs.unpersist()
-    return labels
+    from sparkseek.llm.components import connected_components  # here, as the catalog also runs without that package
+
+    roots = connected_components(burst_pairs(catalog).filter(F.col("a") < F.col("b")).select("a", "b"))
+    smallest = roots.groupBy("root").agg(F.min("node").alias("group_id"))
+    return roots.join(smallest, "root").select(F.col("node").alias("id"), "group_id")
 
 
 def _in_order(rows: pd.DataFrame) -> pd.DataFrame:

@@ -192,6 +192,15 @@ def test_lines(spark):
     assert [[x["t"] for x in r] for r in reading_rows([line("b", 5.0, 0.5), line("a", 0.0, 0.0), line("c", 0.0, 9.0)])] == [["a", "b"], ["c"]]
 
 
+def test_a_long_burst_in_random_order_is_one_group(spark, monkeypatch):
+    ids = np.random.default_rng(5).permutation(1000).tolist()
+    steps = list(zip(ids, ids[1:])) + [(2001, 2000)]
+    pairs = spark.createDataFrame(steps + [p[::-1] for p in steps], "a long, b long")
+    monkeypatch.setattr(bursts, "burst_pairs", lambda catalog: pairs)
+    got = {r["id"]: r["group_id"] for r in bursts.burst_components(None).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
+
+
 def test_bursts(spark):
     said = "a\nb\nc\nd\ne"
     rows = [(1, "f", 0, 0, said, None), (2, "f", 500_000, -1, said + "\nx", None), (3, "f", 1_100_000, -1, "other", None), (4, "f", 1_100_000, -8, "", None), (5, "g", 0, 0, said, None), (6, "f", 9_000_000, 0, said, None)]
