@@ -443,15 +443,9 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, id) AS run FROM
 
 @query("burst_components", f"{_CHAINS} SELECT id, min(id) OVER (PARTITION BY user_id, run) AS group_id FROM r QUALIFY count(*) OVER (PARTITION BY user_id, run) > 1")
 def burst_components(spark, d):
-    _checkpoints(spark)
     return bursts.burst_components(_one_hash(spark, d))
 
 
-def _checkpoints(spark) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-
-
 @query("burst_ingest_order")
 def burst_ingest_order(spark, d):
     return bursts.group_bursts(_one_hash(spark, d), "ingest")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkseek.operators.components import connected_components
+
 # Fixed values of the burst rule.
 WINDOW_MS = 600_000
 MIN_LINES = 4
@@ -65,8 +67,6 @@ def burst_components(catalog: DataFrame) -> DataFrame:
 
     Pairs are contracted until none is left, which shrinks long chains by a constant factor a round.
     """
-    from sparkseek.llm.components import connected_components  # here, as the catalog also runs without that package
-
     roots = connected_components(burst_pairs(catalog).filter(F.col("a") < F.col("b")).select("a", "b"))
     smallest = roots.groupBy("root").agg(F.min("node").alias("group_id"))
     return roots.join(smallest, "root").select(F.col("node").alias("id"), "group_id")
