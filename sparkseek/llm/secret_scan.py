@@ -3,20 +3,22 @@
 Three patterns find the base spans: assignments, access keys and hexadecimal runs. The method
 then looks at values over the whole corpus. Every candidate value, a base one or a token that
 only looks like a credential (GENERIC: long, with letters and digits mixed), is hashed, and the
-distinct repositories and owners that hold a hash are counted. A value that WIDE owners or more
-hold is a copied example; a value of one owner alone that looks live is a credential of that
-owner. Generic tokens of the second kind are added as spans of kind ``owned``; base spans stay
-whatever their class, with counts of the live and the copied ones beside them.
+distinct repositories and owners that hold a hash are counted. That gives every value a class:
+``copied`` if WIDE owners or more hold it (an example that went around), ``shared`` if several
+do, and of those with one owner ``live`` if it looks like a credential and ``plain`` if not.
+Live generic tokens are added as spans of kind ``owned``; base spans stay whatever their class.
 
-Only hashes move: (hash, owner, repository) is deduplicated before the counts, so a value copied
-into a third of all rows is a few rows an owner. The result of the scan is kept once, in the
-checkpoint folder, without texts.
+Only hashes move: (hash, owner, repository) is counted before it moves, so a value copied into a
+third of all rows is a few rows an owner. Counts of such values go back to the rows by a
+broadcast, the others by a shuffle. The result of the scan is kept once, in the checkpoint
+folder, without texts.
 
 Here an owner is a document's source, and a repository is a source and language.
 
 Defined cases: a null or empty text has no spans; a null owner or repository is one of its own;
-repeated rows get the same answer; an empty table gives an empty result; other columns are
-ignored.
+repeated rows get the same answer and count once; very long texts and many matches take time in
+proportion, times a logarithm; an empty table gives an empty result; other columns are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import cut, load
-from sparkseek.llm.spans import SPAN, listed, spans_where
+from sparkseek.llm.common import cut, join_split, load
+from sparkseek.llm.spans import SPAN, listed, spans_where, touches
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
@@ -34,6 +36,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 GENERIC = r"[A-Za-z0-9_-]{24,}"
 WIDE = 3
+KINDS = ("assign", "access", "hex")
+JUDGED = "struct<begin: int, order: int, end: int, kind: string, class: string, owners: long, repositories: long>"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -59,47 +63,56 @@ def _value(span: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str, owner: str, repository: str, keep: list[str]) -> DataFrame:
-    """One row per row of docs: a row number, the kept columns, base spans, and generic candidates."""
+    """One row per row of docs: a row number, the owner and repository, the kept columns in a struct, base spans, and generic candidates."""
     t = F.col(text).cast("string")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, name(owner).alias("_owner"), name(repository).alias("_repository"), *(c.alias(f"_{k}") for k, c in base_spans(t).items()), spans_where(t.rlike(GENERIC), t, GENERIC).alias("_generic"))
-    known = F.concat("_assign", "_access", "_hex")
-    apart = F.filter("_generic", lambda s: looks_live(s["match"]) & ~F.exists(known, lambda b: (s["begin"] < b["end"]) & (b["begin"] < s["end"])))
-    return found.withColumn("_generic", apart)
+    kept = F.struct(*keep) if keep else F.struct(F.lit(None).alias("none"))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), name(owner).alias("owner"), name(repository).alias("repository"), *(c.alias(k) for k, c in base_spans(t).items()), spans_where(t.rlike(GENERIC), t, GENERIC).alias("generic"))
+
+    def apart(s: Column) -> Column:
+        return looks_live(s["match"]) & ~(touches(F.col("assign"), s["begin"], s["end"]) | touches(F.col("access"), s["begin"], s["end"]) | touches(F.col("hex"), s["begin"], s["end"]))
+
+    return found.withColumn("generic", F.filter("generic", apart))
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """(value_hash, owners, repositories) over all rows of values (value_hash, owner, repository)."""
-    once = values.select("value_hash", "owner", "repository").distinct()
-    by_owner = once.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """(value_hash, owners, repositories, places) over all rows of values (value_hash, owner, repository)."""
+    once = values.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("places"))
+    by_owner = once.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.sum("places").alias("places"))
+    return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "repository", keep: tuple[str, ...] = ("doc_id",), wide: int = WIDE) -> DataFrame:
-    """The kept columns, and arrays of spans: assign, access, hex, owned; n_live and n_copied of the base values."""
+    """The kept columns; arrays of spans assign, access, hex and owned; judged, an array of JUDGED for all of these by place; and counts of base values by class."""
     rows = cut(scan(docs, text, owner, repository, list(keep)))
-    tag = lambda kind: F.transform(F.col(f"_{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), F.xxhash64(_value(s)).alias("value_hash"), looks_live(_value(s)).alias("live"), s.alias("span")))
-    every = F.concat(*(tag(k) for k in ("assign", "access", "hex", "generic")))
-    values = rows.filter(F.size("_assign") + F.size("_access") + F.size("_hex") + F.size("_generic") > 0)
-    values = values.select("_row", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.explode(every).alias("x")).select("_row", "owner", "repository", "x.*")
-    judged = values.join(ownership(values), "value_hash")
-    own = (F.col("owners") == 1) & F.col("live")
-    per_row = judged.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.when((F.col("kind") == "generic") & own, F.col("span")))).alias("owned"),
-        F.count_if((F.col("kind") != "generic") & own).alias("n_live"),
-        F.count_if((F.col("kind") != "generic") & (F.col("owners") >= wide)).alias("n_copied"),
-    )
-    out = rows.join(per_row, "_row", "left")
+
+    def tagged(kind: str, order: int) -> Column:
+        value = lambda s: F.struct(F.xxhash64(_value(s)).alias("value_hash"), looks_live(_value(s)).alias("live"), s["begin"].alias("begin"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit("owned" if kind == "generic" else kind).alias("kind"))
+        return F.transform(F.col(kind), value)
+
+    every = F.concat(*(tagged(k, i) for i, k in enumerate((*KINDS, "generic"))))
+    values = rows.filter(F.size("assign") + F.size("access") + F.size("hex") + F.size("generic") > 0)
+    values = cut(values.select("row", "owner", "repository", F.explode(every).alias("x")).select("row", "owner", "repository", "x.*"))
+    held = join_split(values, cut(ownership(values)), "value_hash", "places")
+    name = F.when(F.col("owners") >= wide, "copied").when(F.col("owners") > 1, "shared").when(F.col("live"), "live").otherwise("plain")
+    held = held.withColumn("class", name).filter((F.col("kind") != "owned") | (F.col("class") == "live"))
+    of = lambda c: F.count_if((F.col("kind") != "owned") & (F.col("class") == c))
+    per_row = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "order", "end", "kind", "class", "owners", "repositories"))).alias("judged"), *(of(c).alias(f"n_{c}") for c in ("live", "shared", "copied")))
+    out = rows.join(per_row, "row", "left")
+    judged = F.coalesce("judged", F.array().cast(f"array<{JUDGED}>"))
+    blank = F.lit("")
+    owned = F.transform(F.filter(judged, lambda j: j["kind"] == "owned"), lambda j: F.struct(j["begin"].alias("begin"), j["end"].alias("end"), blank.alias("match"), blank.alias("part"))).cast(f"array<{SPAN}>")
     zero = F.lit(0).cast("long")
-    return out.select(*keep, *(F.col(f"_{k}").alias(k) for k in ("assign", "access", "hex")), F.coalesce("owned", F.array().cast(f"array<{SPAN}>")).alias("owned"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+    return out.select(*(F.col("kept")[c].alias(c) for c in keep), *KINDS, owned.alias("owned"), judged.alias("judged"), *(F.coalesce(f"n_{c}", zero).alias(f"n_{c}") for c in ("live", "shared", "copied")))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repository"))
     found = find_secrets(docs)
-    base = {k: F.col(k) for k in ("assign", "access", "hex")}
+    base = {k: F.col(k) for k in KINDS}
     count = lambda k: F.size(k).cast("long")
+    classes = F.array_join(F.transform("judged", lambda j: F.concat_ws(":", j["kind"], j["begin"], j["end"], j["class"])), ",")
     return found.select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(listed(base), 256).alias("base_sha256"),
-        listed(base | {"owned": F.col("owned")}).alias("spans"), count("owned").alias("n_owned"), "n_live", "n_copied",
+        listed(base | {"owned": F.col("owned")}).alias("spans"), classes.alias("classes"), count("owned").alias("n_owned"), "n_live", "n_shared", "n_copied",
     )
