@@ -5,27 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.operators.checkpoints import checkpoint_folder, cut
+
+__all__ = ["checkpoint_folder", "cut", "free_prefix", "join_split", "load", "training_row", "unit"]
+
+#: Keys that are joined by a broadcast at most: those with more than this share of all rows.
+HOT_KEYS = 10_000
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names.
+def free_prefix(df: DataFrame, wish: str) -> str:
+    """The wish, with as many underscores before it as it takes for no column of df to begin with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(wish.lower()) for c in taken):
+        wish = f"_{wish}"
+    return wish
 
-    Only where it is unset, as in tests, a folder under the warehouse is taken.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return sc.getCheckpointDir()
 
+def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The inner join of rows with a table of distinct keys, where weight says how many rows have the key.
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    A key with more than a share 1 / hot_keys of all rows is hot. There are fewer than hot_keys of
+    them, so they are broadcast and their rows stay where they are; the others are joined by a
+    shuffle, to which no key brings more than that share. Both inputs are read several times.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    most = max(1000, -(-total // hot_keys))
+    hot = table.filter(F.col(weight) > most)
+    if total <= most or hot.isEmpty():
+        return rows.join(table.drop(weight), key)
+    few = F.broadcast(cut(hot.drop(weight)))
+    cold = table.filter(F.col(weight) <= most).drop(weight)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key))
 
 
 def unit(*parts: Column) -> Column:
