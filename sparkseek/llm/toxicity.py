@@ -9,12 +9,14 @@ voter gives each vote in each class. Voters that agree beyond what the classes e
 grouped by the correlation of their residuals, and the members of a group share one voice; the
 model is then estimated again. Posterior labels train a logistic regression on whether one, two or
 three distinct words of a text have a feature, and that alone gives the scores. Every whole text is
-read.
+read. Texts of the sample are reduced to their distinct words and surface counts where they lie, so
+the driver holds no texts.
 
 Defined cases: a null or empty text has the score of a text without features; rows with a null
 label teach nothing; a row whose labels differ counts for each; with no labelled rows, or rows of
 one class only, every score is that class's share (0 without rows); repeated rows get the same
-answer; an empty table gives an empty result; other columns are ignored.
+answer; an empty table gives an empty result; other columns are ignored or, in ``score``, kept,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import load, training_row
+from sparkseek.llm.common import free_prefix, load, training_row
 
 SAMPLE_ROWS = 8_000
 MIN_DOCUMENTS = 5
@@ -46,6 +49,21 @@ REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
 
 
+@dataclass(frozen=True)
+class Observed:
+    """What the learning sees of a text: its distinct words in lower case, and counts over the whole of it."""
+
+    words: list[str]
+    letters: int
+    capitals: int
+    exclamations: int
+
+
+def observe(text: str | None) -> Observed:
+    text = text or ""
+    return Observed(sorted(set(_WORD.findall(text.lower()))), sum(map(str.isalpha, text)), sum(map(str.isupper, text)), text.count("!"))
+
+
 def features_of(word: str) -> list[str]:
     """The word itself, and its beginnings."""
     return [word, *(f"{word[:n]}-" for n in STARTS if n <= len(word))]
@@ -120,14 +138,14 @@ def _z(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np
     return (in_toxic - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 0.25))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, feature_count: int = FEATURES, voters: int = LEXICON_VOTERS) -> Classifier:
-    """A classifier from labelled texts, by way of the label model."""
+def fit(texts: list[Observed], labels: np.ndarray, feature_count: int = FEATURES, voters: int = LEXICON_VOTERS) -> Classifier:
+    """A classifier from labelled texts as observed, by way of the label model."""
     toxic, clean = int(labels.sum()), int((1 - labels).sum())
     if not toxic or not clean:
         share = float(labels.mean()) if len(labels) else 0.0
         return Classifier([], np.empty(0), float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
     pool: dict[str, str] = {}  # one object for each word, as most stand in many texts
-    bags = [tuple({pool.setdefault(w, w) for w in _WORD.findall((t or "").lower())}) for t in texts]
+    bags = [tuple(pool.setdefault(w, w) for w in t.words) for t in texts]
     del pool
     frequency: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for bag, label in zip(bags, labels):
@@ -155,16 +173,16 @@ def fit(texts: list[str | None], labels: np.ndarray, feature_count: int = FEATUR
     return Classifier(names, weights, bias)
 
 
-def _votes(texts: list[str | None], counts: np.ndarray, labels: np.ndarray, at_level: np.ndarray, voters: int) -> np.ndarray:
+def _votes(texts: list[Observed], counts: np.ndarray, labels: np.ndarray, at_level: np.ndarray, voters: int) -> np.ndarray:
     """A column for each voter: lexicon voters, patterns, silence of the lexicons, and the label."""
     columns = []
     for j in np.argsort(-at_level.max(axis=0), kind="stable")[:voters]:
         if at_level[:, j].max() >= SURE:
             columns.append(np.where(counts[:, j] > int(np.argmax(at_level[:, j])), 1, -1))
     silent = np.all([c < 0 for c in columns], axis=0) if columns else np.ones(len(texts), dtype=bool)
-    letters = np.array([max(1, sum(map(str.isalpha, (t or "")[:100_000]))) for t in texts])
-    shouting = np.array([sum(map(str.isupper, (t or "")[:100_000])) for t in texts]) > 0.6 * letters
-    exclaims = np.array([(t or "").count("!") for t in texts]) > 0.02 * letters
+    letters = np.array([max(1, t.letters) for t in texts])
+    shouting = np.array([t.capitals for t in texts]) > 0.6 * letters
+    exclaims = np.array([t.exclamations for t in texts]) > 0.02 * letters
     columns += [np.where(silent, 0, -1), np.where(shouting, 1, -1), np.where(exclaims, 1, -1), labels]
     return np.stack(columns, axis=1)
 
@@ -182,14 +200,24 @@ def _regress(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.1,
     return w[:-1].astype(np.float64), float(w[-1])
 
 
+def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = [observe(t.as_py()) for t in batch.column(2)]
+        counts = [pa.array([getattr(x, c) for x in seen], pa.int64()) for c in ("letters", "capitals", "exclamations")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.words for x in seen], pa.list_(pa.string())), *counts], names=["_id", "label", "words", "letters", "capitals", "exclamations"])
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).filter(training_row(F.col("_id")) & F.col("label").isin(0, 1)).distinct()
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     chosen = F.broadcast(chosen.limit(2 * sample_rows))  # at most that many pairs of numbers
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(chosen, "_id").limit(2 * sample_rows)
-    table = rows.select("_id", "text", "label").toArrow().sort_by([("_id", "ascending"), ("label", "ascending")])
-    return fit(table["text"].to_pylist(), np.array(table["label"].to_pylist(), dtype=np.int64))
+    id_type = dict(rows.dtypes)["_id"]
+    seen = rows.select("_id", "label", "text").mapInArrow(_observe, f"_id {id_type}, label int, words array<string>, letters long, capitals long, exclamations long")
+    table = seen.toArrow().sort_by([("_id", "ascending"), ("label", "ascending")])
+    texts = [Observed(*x) for x in zip(*(table[c].to_pylist() for c in ("words", "letters", "capitals", "exclamations")))]
+    return fit(texts, np.array(table["label"].to_pylist(), dtype=np.int64))
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -204,7 +232,8 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str
     kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "score double"])
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(partial(_score, sent=sent), schema)
+    hidden = free_prefix(docs, "_text")
+    return docs.select(*kept, F.col(text).cast("string").alias(hidden)).mapInArrow(partial(_score, sent=sent), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
