@@ -12,7 +12,11 @@ are dealt by hash to a grid of such tasks. The table of tile sizes has at most 1
 
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; a
 null doc_id is grouped by its text but never the smallest id of a group (null if a group has no
-other); repeated rows are in one group; an empty table gives an empty result.
+other); repeated rows are in one group; a very long text is read whole, with memory in proportion
+to its words; an empty table gives an empty result; other columns are ignored or kept as they are.
+
+Rows of one fingerprint, such as a great many copies, get their group by a broadcast of the few
+fingerprints with so many rows; the others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sparkseek.llm.common import cut, load
+from sparkseek.llm.common import cut, free_prefix, join_split, load
 from sparkseek.operators.components import connected_components
 
 RADIUS = 2
@@ -74,18 +78,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between a and b at Hamming distance 1 to radius: (node, root)."""
+    """A spanning forest of the links between a and b at Hamming distance 1 to radius: (node, root).
+
+    Blocks of CELLS pairs are compared in turn and their links joined to the forest so far, so no
+    more links than a block's are held.
+    """
     step = max(1, CELLS // max(1, len(b)))
-    left, right = [], []
+    nodes, roots = a[:0], a[:0]
     for at in range(0, len(a), step):
         part = a[at : at + step]
-        near = np.bitwise_count(part[:, None] ^ b[None, :]) <= radius
-        i, j = np.nonzero(near)
-        left.append(part[i])
-        right.append(b[j])
-    left, right = np.concatenate(left or [a[:0]]), np.concatenate(right or [b[:0]])
-    differ = left != right
-    left, right = left[differ], right[differ]
+        bits = np.bitwise_count(part[:, None] ^ b[None, :])
+        i, j = np.nonzero((bits <= radius) & (bits > 0))
+        if len(i):
+            nodes, roots = _spanned(np.concatenate([nodes, part[i]]), np.concatenate([roots, b[j]]))
+    return nodes, roots
+
+
+def _spanned(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links left-right as (node, root), without the roots themselves."""
     nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
     i, j = inverse[: len(left)], inverse[len(left) :]
     label = np.arange(len(nodes))
@@ -142,25 +152,27 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
 
 
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of each distinct fp: its group, and the smallest id in that."""
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
-    linked = classes.join(roots, "fp")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(smallest, "root").select("fp", "root", "component_id")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    """(fp, rows, root, component_id) of each distinct fp: its rows, its group, and the smallest id in that."""
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
+    roots = connected_components(links(classes, radius)).select(F.col("node").alias("fp"), "root")
+    linked = cut(classes.join(roots, "fp"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    linked = join_split(linked.select("fp", "root"), smallest, "root", "prints").select("fp", "root", "component_id")
+    return classes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id that links reach."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    return prints.join(_grouped(prints, radius), "fp").select("id", "fp", "component_id")
+    groups = cut(_grouped(prints, radius).select("fp", "rows", "component_id"))
+    return join_split(prints, groups, "fp", "rows").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: the one with the smallest id.
 
-    Of rows that share that id, one stays; of a group without any id, one row stays.
+    Of rows that share that id, one stays; of a group without any id, one row stays. Columns come
+    back as they are, whatever they are called.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     groups = cut(_grouped(prints, radius))
@@ -170,9 +182,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     if ids["n"] > ids["ids"]:
         stay = stay.dropDuplicates([id_col])
     if ids["rows"] > ids["n"]:
-        nameless = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-        rows = docs.filter(F.col(id_col).isNull()).withColumn("_fp", F.pandas_udf(_fingerprint_column, LongType())(F.col(text_col)))
-        stay = stay.unionByName(rows.join(nameless, "_fp").dropDuplicates(["_root"]).drop("_fp", "_root").select(docs.columns))
+        fp, root = (free_prefix(docs, p) for p in ("_fp", "_root"))
+        nameless = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root))
+        rows = docs.filter(F.col(id_col).isNull()).withColumn(fp, F.pandas_udf(_fingerprint_column, LongType())(F.col(text_col).cast("string")))
+        stay = stay.unionByName(rows.join(nameless, fp).dropDuplicates([root]).select(docs.columns))
     return stay.select(docs.columns)
 
 
