@@ -20,12 +20,16 @@ A topic is a surface class of the text that ``surface_topic`` derives, unless th
 column. Tokens are runs of characters other than space.
 
 Only the table of cells is raked: one row per combination that occurs, summed before anything
-moves, so a source with a third of all rows is one row per language and topic.
+moves, so a source with a third of all rows is one row per language and topic. Up to SMALL_CELLS of
+them are raked by windows over the cells of a value; more by grouped sums that are joined back, so
+that a language with most of the cells is not one task.
 
 Defined cases: a null source, language or topic is a value of its own (``\\0null``); a null or
 empty text has no tokens, weighs nothing and is kept with the probability of its cell (1 where the
 whole cell weighs nothing); rows with a null id share one draw; repeated rows are drawn alike; an
-empty table gives an empty result; input columns named as output columns are replaced.
+empty table gives an empty result; a very long text is read whole; in ``mix`` input columns named as
+output columns are replaced, and ``sample`` gives back all columns as they are, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -39,16 +43,16 @@ from pyspark.sql.window import Window
 from sparkseek.llm.common import cut, load, unit
 
 #: For source, language and topic: 1 keeps the observed shares, 0 makes all values equal.
-TEMPERATURE = {"source": 0.7, "lang": 0.9, "topic": 1.0}
+TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 TOLERANCE = 1e-6
 MAX_ROUNDS = 50
 #: The share of the named tokens that is sampled at least, and the share of the sample that full cells may lack beyond that.
 KEEP = 0.5
 MISS = 0.01
-#: Cells of a partition while raking, and raking rounds of one job.
-SLICE_CELLS = 20_000
+#: Cells that are raked by windows at most, and raking rounds of one job.
+SMALL_CELLS = 50_000
 ROUNDS_AT_ONCE = 4
-#: More cells than this are joined by a shuffle.
+#: More rows than this are joined by a shuffle.
 BROADCAST_CELLS = 50_000
 MARGINS = ("source", "lang", "topic")
 _OUT = ("topic", "n_tokens", "factor", "keep_probability", "draw", "sampled")
@@ -57,7 +61,7 @@ _NULL = "\0null"
 
 def token_count(text: Column) -> Column:
     """How many runs of characters other than white space the text has."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def surface_topic(text: Column) -> Column:
@@ -87,24 +91,22 @@ def _targets(cells: DataFrame, margin: str, given: DataFrame | None, temperature
     return raw.select(margin, (F.col("raw") / F.lit(float(total))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (the margins and tokens) with share, their raked share of the whole.
-
-    Targets stand beside the cells, so a step is one window sum over the cells of a value.
-    """
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, small: int = SMALL_CELLS) -> DataFrame:
+    """cells (the margins and tokens) with share, their raked share of the whole. Targets stand beside the cells."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("share", F.col("tokens") / F.lit(float(max(1, total))))
     for margin, target in targets.items():
         now = now.join(target.select(margin, F.col("target").alias(f"to{margin}")), margin, "left").fillna(0.0, [f"to{margin}"])
-    now = cut(now.coalesce(max(1, -(-now.count() // SLICE_CELLS))))
+    now = cut(now)
+    few = now.count() <= small
+    now = cut(now.coalesce(1)) if few else now
     kept = now.columns
-    for _ in range(0, rounds, ROUNDS_AT_ONCE):
-        for _ in range(ROUNDS_AT_ONCE):
+    at_once = ROUNDS_AT_ONCE if few else 1
+    for _ in range(0, rounds, at_once):
+        for _ in range(at_once):
             now = now.withColumn("_off", F.lit(0.0))
             for margin in targets:
-                got = F.sum("share").over(Window.partitionBy(margin))
-                now = now.withColumn("_by", F.when(got > 0, F.col(f"to{margin}") / got).otherwise(0.0)).withColumn("share", F.col("share") * F.col("_by"))
-                now = now.withColumn("_off", F.when(F.col("share") > 0, F.greatest("_off", F.abs(F.col("_by") - 1))).otherwise(0.0))
+                now = _scaled(now, margin) if few else _scaled_by_groups(now, margin)
         now = cut(now.select(*kept, "_off"))
         if (now.agg(F.max("_off")).first()[0] or 0.0) <= tolerance:
             break
@@ -112,6 +114,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUN
     return now.select(*cells.columns, "share")
 
 
+def _times(now: DataFrame, margin: str, got: Column) -> DataFrame:
+    """Shares brought to the target of the margin where they sum to got, and how far they were off."""
+    now = now.withColumn("_by", F.when(got > 0, F.col(f"to{margin}") / got).otherwise(0.0)).withColumn("share", F.col("share") * F.col("_by"))
+    return now.withColumn("_off", F.when(F.col("share") > 0, F.greatest("_off", F.abs(F.col("_by") - 1))).otherwise(0.0))
+
+
+def _scaled(now: DataFrame, margin: str) -> DataFrame:
+    return _times(now, margin, F.sum("share").over(Window.partitionBy(margin)))
+
+
+def _scaled_by_groups(now: DataFrame, margin: str) -> DataFrame:
+    """The same by a grouped sum that is joined back; now is cut, so it is read twice and not made twice."""
+    sums = now.groupBy(margin).agg(F.sum("share").alias("_got"))
+    return cut(_times(now.join(sums, margin), margin, F.col("_got")).drop("_got", "_by"))
+
+
 def sample_size(cells: DataFrame, keep: float = KEEP, miss: float = MISS) -> float:
     """The share of all tokens to sample, from cells (supply, share).
 
@@ -150,15 +168,20 @@ def allot(cells: DataFrame, size: float) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] = TEMPERATURE, seed: str = "mix", keep: float = KEEP, miss: float = MISS) -> DataFrame:
-    """docs with topic, n_tokens, factor, keep_probability, draw and sampled."""
-    kept = [c for c in docs.columns if c not in _OUT or c == topic]
+def drawn(docs: DataFrame, kept: Column, slim: bool, id_col: str, text: str, source: str, lang: str, topic: str | None, targets: dict[str, DataFrame] | None, temperature: dict[str, float], seed: str, keep: float, miss: float) -> DataFrame:
+    """(kept, topic, n_tokens, factor, keep_probability, draw) of the rows of docs.
+
+    slim says that kept holds no texts: then the rows are kept once they are counted, else they are read twice.
+    """
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
-    rows = docs.select(*kept, named(source).alias("_source"), named(lang).alias("_lang"), (named(topic) if topic else surface_topic(F.col(text))).alias("_topic"), token_count(F.col(text)).alias("n_tokens"))
+    draw = unit(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL)), F.lit(seed))
+    body = F.col(text).cast("string")
+    rows = docs.select(kept.alias("kept"), draw.alias("draw"), named(source).alias("_source"), named(lang).alias("_lang"), (named(topic) if topic else surface_topic(body)).alias("_topic"), token_count(body).alias("n_tokens"))
+    rows = cut(rows) if slim else rows
     keys = [f"_{m}" for m in MARGINS]
     cells = cut(rows.groupBy(*keys).agg(F.sum("n_tokens").cast("double").alias("tokens")))
     goals = {f"_{m}": cut(_targets(cells, f"_{m}", (targets or {}).get(m), temperature[m])) for m in MARGINS}
-    raked = rake(cells, goals)
+    raked = cut(rake(cells, goals))
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
     supply = cut(raked.filter("tokens > 0").select(*keys, (F.col("tokens") / total).alias("supply"), "share"))
     kept_share = allot(supply, sample_size(supply, keep, miss))
@@ -166,17 +189,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     factors = cut(factors.join(kept_share, keys, "left"))
     if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
-    draw = unit(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL)), F.lit(seed))
-    out = rows.join(factors, keys).withColumn("keep_probability", F.coalesce("keep_probability", F.lit(1.0))).withColumn("draw", draw)
-    return out.select(*(c for c in kept if c != "topic"), F.col("_topic").alias("topic"), "n_tokens", "factor", "keep_probability", "draw", (F.col("draw") < F.col("keep_probability")).alias("sampled"))
+    return rows.join(factors, keys).select("kept", F.col("_topic").alias("topic"), "n_tokens", "factor", F.coalesce("keep_probability", F.lit(1.0)).alias("keep_probability"), "draw")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] = TEMPERATURE, seed: str = "mix", keep: float = KEEP, miss: float = MISS, columns: list[str] | None = None) -> DataFrame:
+    """The columns of docs (all, if not named) with topic, n_tokens, factor, keep_probability, draw and sampled."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in _OUT]
+    rows = drawn(docs, F.struct(*kept), text not in kept, id_col, text, source, lang, topic, targets, temperature, seed, keep, miss)
+    return rows.select(*(F.col("kept")[c].alias(c) for c in kept), *_OUT[:-1], (F.col("draw") < F.col("keep_probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, temperature: dict[str, float] = TEMPERATURE, seed: str = "mix", keep: float = KEEP, miss: float = MISS) -> DataFrame:
     """The sampled rows of docs, with its columns."""
-    mixed = mix(docs.withColumn("_kept", F.struct(*docs.columns)), **options)
-    return mixed.filter("sampled").select("_kept.*")
+    rows = drawn(docs, F.struct(*docs.columns), False, id_col, text, source, lang, topic, targets, temperature, seed, keep, miss)
+    return rows.filter(F.col("draw") < F.col("keep_probability")).select("kept.*")
 
 
 def op4_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("keep_probability", 6).alias("keep_probability"), "sampled")
+    return mix(docs, columns=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("keep_probability", 6).alias("keep_probability"), "sampled")
