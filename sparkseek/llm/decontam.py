@@ -7,31 +7,42 @@ there; a block that ends no pattern and lies in none lets it jump over almost a
 shift 0, the bucket of the block holds the patterns that end in it, and the whole window is
 compared.
 
+A shift table is a sorted array of block hashes with a byte each, the buckets are a sorted array of
+the hashes of last blocks with the place of each pattern in the words of all items, and comparison is
+of the words themselves, so a benchmark word takes about 30 bytes of a Python worker.
+
 The tables are made on the executors from the item texts. These are sent out in groups whose
 bytes are bounded: the benchmark is measured first, and one larger than GROUP_BYTES is searched
-group by group, each over all documents, with what was found so far carried along. Items longer
-than a chunk are cut into chunks that overlap by a window less one word.
+group by group. Documents are then kept once with row numbers, and each group's pass gives row
+numbers and hits only. Items longer than a chunk are cut into chunks that overlap by a window less
+one word.
 
 Defined cases: a null text has no words and no hits; so has a text without word characters; a
 null item text has no windows; items with a null id count as the item with the empty id; equal
 items hit together and are both listed; an empty benchmark hits nothing; repeated rows get the
-same answer; input columns named as output columns are replaced.
+same answer; a very long text is read whole, with memory in proportion to its words; an empty table
+gives an empty result; in ``mark`` input columns named as output columns are replaced, and
+``drop_contaminated`` gives back all columns as they are, whatever they are called.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import cut, load
+from sparkseek.llm.common import cut, free_prefix, load
 
 WINDOW = 13
 BLOCK = 3
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 16 << 20
 CHUNK_WORDS = 20_000
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest is a space.
@@ -43,46 +54,80 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
+def _hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
+class Table:
+    """Shift table and buckets for patterns of one length: windows of that many of the words, by place."""
+
+    def __init__(self, words: list[bytes], starts: np.ndarray, length: int, block: int):
+        self.words, self.length, self.block = words, length, min(block, length)
+        self.far = length - self.block + 1
+        begins = np.zeros(len(words) + 1, dtype=bool)  # of blocks of patterns
+        for i in range(self.far):
+            begins[starts + i] = True
+        places = np.flatnonzero(begins)
+        hashes = np.array([_hash(words[i : i + self.block]) for i in places.tolist()], dtype=np.uint64)
+        shift = np.full(len(words) + 1, self.far, dtype=np.int64)  # from a block's begin to the end of the pattern that is nearest
+        for back in range(self.far):
+            at = starts + self.far - 1 - back
+            shift[at] = np.minimum(shift[at], back)
+        blocks, group = np.unique(hashes, return_inverse=True)
+        least = np.full(len(blocks), self.far, dtype=np.int64)
+        np.minimum.at(least, group, shift[places])
+        self.blocks, self.shifts = array("Q", blocks.tobytes()), array("B", least.astype(np.uint8).tobytes())
+        last = hashes[np.searchsorted(places, starts + self.far - 1)]
+        order = np.argsort(last, kind="stable")
+        self.lasts, self.starts = array("Q", last[order].tobytes()), array("q", starts[order].astype(np.int64).tobytes())
+
+    def step(self, key: int) -> int:
+        """How far the reading place may jump when a block of this hash ends there."""
+        i = bisect_left(self.blocks, key)
+        return self.shifts[i] if i < len(self.blocks) and self.blocks[i] == key else self.far
+
+    def patterns(self, window: list[bytes], key: int) -> list[int]:
+        """Where the patterns equal to the window begin, of those whose last block has this hash."""
+        found = range(bisect_left(self.lasts, key), bisect_right(self.lasts, key))
+        return [s for s in (self.starts[i] for i in found) if self.words[s : s + self.length] == window]
+
+
 class Searcher:
-    """Shift tables and buckets for patterns of several lengths."""
+    """Tables for patterns of several lengths over the words of items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, block: int = BLOCK):
-        by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, words in items:
-            length = min(window, len(words))
-            for i in range(len(words) - length + 1 if length else 0):
-                by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
-        self.tables = []
-        for length, patterns in by_length.items():
-            size = min(block, length)
-            shift: dict[tuple[bytes, ...], int] = {}
-            bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = {}
-            for pattern, found in patterns.items():
-                for end in range(size, length + 1):
-                    key = pattern[end - size : end]
-                    shift[key] = min(shift.get(key, length), length - end)
-                bucket.setdefault(pattern[-size:], {})[pattern] = found
-            self.tables.append((length, size, shift, bucket))
+        if window > 255:
+            raise ValueError("a window has 255 words at most")
+        pool: dict[bytes, bytes] = {}  # one object for each word
+        words: list[bytes] = []
+        self.items, self.begins = [], array("q")
+        starts: dict[int, list[np.ndarray]] = {}
+        for item, own in items:
+            length = min(window, len(own))
+            if length:
+                self.items.append(item)
+                self.begins.append(len(words))
+                starts.setdefault(length, []).append(len(words) + np.arange(len(own) - length + 1))
+                words += [pool.setdefault(w, w) for w in own]
+        self.tables = [Table(words, np.concatenate(s), length, block) for length, s in starts.items()]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The word spans (begin, end) that occurrences cover, joined, and the items that occur."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         n = len(words)
-        for length, size, shift, bucket in self.tables:
-            far = length - size + 1
-            at = length
-            get = shift.get
+        for table in self.tables:
+            at, length, size, step = table.length, table.length, table.block, table.step
             while at <= n:
-                block = tuple(words[at - size : at])
-                step = get(block, far)
-                if step:
-                    at += step
+                key = _hash(words[at - size : at])
+                jump = step(key)
+                if jump:
+                    at += jump
                     continue
-                found = bucket[block].get(tuple(words[at - length : at]))
-                if found is not None:
+                found = table.patterns(words[at - length : at], key)
+                if found:
                     spans.append((at - length, at))
-                    items |= found
+                    items.update(self.items[bisect_right(self.begins, s) - 1] for s in found)
                 at += 1
         return joined(spans), items
 
@@ -117,9 +162,10 @@ def _searcher(sent) -> Searcher:
     return sent.searcher
 
 
-def _search(batches: Iterator[pa.RecordBatch], sent, text: int, before: int) -> Iterator[pa.RecordBatch]:
-    """Appends the results to each batch, or joins them with those of the last columns."""
+def _search(batches: Iterator[pa.RecordBatch], sent, text: int, kept: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept columns of each batch and what is found in its texts."""
     searcher = _searcher(sent)
+    pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     for batch in batches:
         column = batch.column(text)
         texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
@@ -128,48 +174,76 @@ def _search(batches: Iterator[pa.RecordBatch], sent, text: int, before: int) ->
             words = words_of(t.as_py())
             found = searcher.search(words)
             counts.append(len(words))
-            spans.append(found[0])
-            items.append(found[1])
-        kept = batch.num_columns
-        if before:
-            kept -= 3
-            for i, (old, ids) in enumerate(zip(batch.column(kept + 1).to_pylist(), batch.column(kept + 2).to_pylist())):
-                spans[i] = joined(spans[i] + [(s["begin"], s["end"]) for s in old])
-                items[i] |= set(ids)
-        pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-        arrays = [pa.array(counts, pa.int64()), pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], pa.list_(pair)), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *arrays], names=[*batch.schema.names[:kept], *_OUT])
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (word spans that occurrences cover, joined) and hit_items (sorted)."""
+            spans.append([{"begin": b, "end": e} for b, e in found[0]])
+            items.append(sorted(found[1]))
+        arrays = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pair)), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *arrays], names=[*(batch.schema.names[i] for i in kept), *names])
+
+
+def _union_of_spans(spans: Column) -> Column:
+    """Spans of several passes, joined where they meet."""
+    def add(state: Column, s: Column) -> Column:
+        open_ = state["open"]
+        meets = s["begin"] <= open_["end"]
+        wider = F.struct(open_["begin"].alias("begin"), F.greatest(open_["end"], s["end"]).alias("end"))
+        return F.when(meets, F.struct(state["done"].alias("done"), wider.alias("open"))).otherwise(F.struct(F.concat(state["done"], F.array(open_)).alias("done"), s.alias("open")))
+
+    kind = _OUT["hit_spans"]
+    ordered = F.array_sort(spans)
+    start = F.struct(F.array().cast(kind).alias("done"), F.get(ordered, F.lit(0)).alias("open"))
+    joined_up = F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), start, add, lambda state: F.concat(state["done"], F.array(state["open"])))
+    return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(joined_up)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, group_bytes: int = GROUP_BYTES, prefix: str = "") -> DataFrame:
+    """docs with n_words, hit_spans (word spans that occurrences cover, joined) and hit_items (sorted), each after the prefix."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
     chunks = cut(items.mapInArrow(partial(_chunks, window=window), "item string, text string"))
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
     groups = 1 if size <= group_bytes else -(-2 * size // group_bytes)  # a group is half full on average
-    kept = [c for c in docs.columns if c not in _OUT]
-    df = docs.select(kept)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"{c} {t}" for c, t in _OUT.items())])
-    for group in range(groups):
-        own = chunks if groups == 1 else chunks.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group)
-        sent = docs.sparkSession.sparkContext.broadcast(([(r["item"], r["text"]) for r in own.collect()], window, block))
-        df = df.mapInArrow(partial(_search, sent=sent, text=kept.index(text), before=group), schema)
-        if group + 1 < groups:
-            df = cut(df)
-    return df
+    out = {f"{prefix}{c}": t for c, t in _OUT.items()}
+    kept = [c for c in docs.columns if c not in out or c == text]
+    schema = lambda df: ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, *out.items()])
 
-
-def n_hit(spans: str = "hit_spans"):
+    def send(group: int):
+        own = chunks if groups == 1 else chunks.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == group)
+        return docs.sparkSession.sparkContext.broadcast(([(r["item"], r["text"]) for r in own.collect()], window, block))
+
+    if groups == 1:
+        df = docs.select(*kept, F.col(text).cast("string").alias(free_prefix(docs, "_text"))) if dict(docs.dtypes)[text] != "string" else docs.select(kept)
+        place = len(df.columns) - 1 if len(df.columns) > len(kept) else kept.index(text)
+        columns = [i for i, c in enumerate(kept) if c not in out]
+        return df.mapInArrow(partial(_search, sent=send(0), text=place, kept=columns, names=list(out)), schema(docs.select(*(kept[i] for i in columns))))
+    row = free_prefix(docs, "_row")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias(row), *kept))
+    texts = rows.select(row, F.col(text).cast("string").alias("text"))
+    passes = [texts.mapInArrow(partial(_search, sent=send(g), text=1, kept=[0], names=list(_OUT)), schema_of_pass(row)) for g in range(groups)]
+    counts = cut(passes[0].select(row, "n_words"))
+    hits = reduce(DataFrame.unionByName, [cut(p.filter(F.size("hit_items") > 0)) for p in passes])
+    found = hits.groupBy(row).agg(_union_of_spans(F.flatten(F.collect_list("hit_spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("items"))
+    named = counts.join(found, row, "left").select(F.col(row), F.col("n_words").alias("n"), F.coalesce("spans", F.array().cast(_OUT["hit_spans"])).alias("s"), F.coalesce("items", F.array().cast("array<string>")).alias("i"))
+    named = named.toDF(row, *out)
+    return rows.select(row, *(c for c in kept if c not in out)).join(named, row).drop(row)
+
+
+def schema_of_pass(row: str) -> str:
+    return ", ".join(f"{c} {t}" for c, t in {row: "long", **_OUT}.items())
+
+
+def n_hit(spans: str = "hit_spans") -> Column:
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
 
 
-def is_contaminated():
+def is_contaminated(prefix: str = "") -> Column:
     """Some word is hit, and at least a twentieth of all words."""
-    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+    hit = n_hit(f"{prefix}hit_spans")
+    return (hit > 0) & (20 * hit >= F.col(f"{prefix}n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return mark(docs, benchmark).filter(~is_contaminated()).select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are not contaminated, with its columns as they are."""
+    prefix = free_prefix(docs, "_found_")
+    return mark(docs, benchmark, prefix=prefix, **options).filter(~is_contaminated(prefix)).select(docs.columns)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
