@@ -10,8 +10,9 @@ region of its own for each shard beyond the base. One more shard is thus one mor
 takes rows from the others and no other row moves.
 
 Defined cases: a null key counts as one key of its own; a null text has size 1 (no bytes plus
-one) and a null checksum; repeated rows are placed alike and get different slots; an empty table
-gives an empty result; an input column named as an output column is replaced.
+one) and a null checksum; repeated rows are placed alike and get different slots; a very long text
+is only measured; an empty table gives an empty result; an input column named as an output column is
+replaced, and others are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.llm.common import load, unit
+from sparkseek.llm.common import free_prefix, load, unit
 
 SHARDS = 16
 ROWS_PER_BLOCK = 4_096
@@ -85,17 +86,16 @@ def with_slots(df: DataFrame, shard: str, order: list[str], shards: int, rows_pe
     a whole shard. Rows that agree in every order column share a block.
     """
     blocks = max(1, math.ceil(df.count() / shards / rows_per_block))
-    df = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    sizes = df.groupBy(F.col(shard).alias("_shard"), F.col("_block").alias("_b")).count()
-    before = Window.partitionBy("_shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select("_shard", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_begin"))
-    within = Window.partitionBy(shard, "_block").orderBy(*order)
-    return (
-        df.withColumn("_n", F.row_number().over(within))
-        .join(begins, (F.col(shard) == F.col("_shard")) & (F.col("_block") == F.col("_b")))
-        .withColumn("slot", (F.col("_begin") + F.col("_n") - 1).cast("long"))
-        .drop("_block", "_n", "_shard", "_b", "_begin")
-    )
+    p = free_prefix(df, "_slot_")
+    columns = [c for c in df.columns if c != "slot"]
+    df = df.select(*columns, F.pmod(F.xxhash64(*order), F.lit(blocks)).alias(f"{p}block"))
+    sizes = df.groupBy(F.col(shard).alias(f"{p}shard"), F.col(f"{p}block").alias(f"{p}b")).agg(F.count("*").alias(f"{p}count"))
+    before = Window.partitionBy(f"{p}shard").orderBy(f"{p}b").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(f"{p}shard", f"{p}b", F.coalesce(F.sum(f"{p}count").over(before), F.lit(0)).alias(f"{p}begin"))
+    within = Window.partitionBy(shard, f"{p}block").orderBy(*order)
+    numbered = df.withColumn(f"{p}n", F.row_number().over(within))
+    placed = numbered.join(begins, (F.col(shard) == F.col(f"{p}shard")) & (F.col(f"{p}block") == F.col(f"{p}b")))
+    return placed.select(*columns, (F.col(f"{p}begin") + F.col(f"{p}n") - 1).cast("long").alias("slot"))
 
 
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -108,7 +108,8 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
         }
     )
     df = place(df, key, tree_for(shards))
-    df = place(df, key, tree_for(shards + 1), "_grown_").withColumn("grown_shard", F.col("_grown_shard")).drop("_grown_region", "_grown_rack", "_grown_shard")
+    p = free_prefix(df, "_grown_")
+    df = place(df, key, tree_for(shards + 1), p).withColumn("grown_shard", F.col(f"{p}shard")).drop(f"{p}region", f"{p}rack", f"{p}shard")
     return with_slots(df, "shard", [key, "text_crc32", "size"], shards)
 
 
