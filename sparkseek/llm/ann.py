@@ -10,21 +10,23 @@ ratio of its nearest centroid's. That ratio is calibrated on the sample, against
 there, to reach TARGET_RECALL.
 
 Only the centroids come from a sample (SAMPLE_ROWS); every row is in the index and every query is
-answered. Small lists that follow each other are read in one task of about BLOCK_ROWS rows, which
+answered; a query whose lists hold fewer than k rows is compared with all rows instead. Small lists that follow each other are read in one task of about BLOCK_ROWS rows, which
 passes on the k best of each query; a large list is read in blocks of as many, and its queries in
 blocks too, so neither a hot list nor a hot query group lands in one task. Scores are inner products of the
 original components in double precision; ties go to the smaller id.
 
 Defined cases: vectors that are null, empty or zero, hold a null or non-finite component, or have
-a null id or another length than most take no part; of rows that share an id, the one with the
-smallest vector counts; fewer candidates than k are all returned; an empty table gives an empty
-result; other columns are ignored.
+a null id take no part; vectors of different lengths have no inner product, so each length is
+searched by itself; of rows that share an id and a length, the one with the smallest vector counts,
+and of lengths that share an id, each has ranks of its own; fewer candidates than k are all
+returned; ties go to the smaller id; an empty table gives an empty result; other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +170,8 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.filter(F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False))) & F.forall("v", finite))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
-    counts = rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
-    return rows if counts["n"] == counts["ids"] else rows.groupBy("id").agg(F.min("v").alias("v"))
+    counts = rows.agg(F.count("*").alias("n"), F.count_distinct("id", F.size("v")).alias("ids")).first()
+    return rows if counts["n"] == counts["ids"] else rows.groupBy("id", F.size("v").alias("length")).agg(F.min("v").alias("v")).select("id", "v")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -245,34 +245,59 @@ def router_for(rows: DataFrame, total: int, k: int = K, sample_rows: int = SAMPL
     return router
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", router: Router | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds.
+_FOUND = "query_id long, vec_id long, score double"
 
-    is_query is an expression over a column ``id``.
-    """
-    spark = vectors.sparkSession
-    rows = cut(usable(vectors, id_col, vec_col))
-    total = rows.count()
-    if total == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = spark.sparkContext.broadcast(router or router_for(rows, total, k))
-    schema = f"list int, id long, v {dict(rows.dtypes)['v']}"
-    lists = cut(rows.mapInArrow(partial(_route, sent=sent, queries=False), schema))
-    asks = cut(rows.filter(is_query).mapInArrow(partial(_route, sent=sent, queries=True), schema))
+
+def _compared(lists: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): per task the k best of each query, from rows (list, id, v) and queries that read the lists."""
     grid = lists.groupBy("list").agg(F.count("*").alias("n")).join(asks.groupBy("list").agg(F.count("*").alias("q")), "list")
     blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    before = F.sum(F.least("n", F.lit(BLOCK_ROWS))).over(Window.orderBy("list"))  # at most MAX_LISTS rows
-    grid = grid.select("list", F.floor(before / BLOCK_ROWS).cast("int").alias("task"), blocks("n", BLOCK_ROWS).alias("rows"), blocks("q", BLOCK_QUERIES).alias("cols"))
+    upto = F.sum(F.least("n", F.lit(BLOCK_ROWS))).over(Window.orderBy("list"))  # at most MAX_LISTS rows
+    grid = grid.select("list", F.floor(upto / BLOCK_ROWS).cast("int").alias("task"), blocks("n", BLOCK_ROWS).alias("rows"), blocks("q", BLOCK_QUERIES).alias("cols"))
     grid = F.broadcast(cut(grid))
     slot = F.xxhash64("id", F.lit("grid"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lists = lists.join(grid, "list").select("task", "list", F.pmod(slot, F.col("rows")).cast("int").alias("row"), each("cols").alias("col"), F.lit(False).alias("asks"), "id", "v")
     asks = asks.join(grid, "list").select("task", "list", each("rows").alias("row"), F.pmod(slot, F.col("cols")).cast("int").alias("col"), F.lit(True).alias("asks"), "id", "v")
-    found = lists.unionByName(asks).groupBy("task", "row", "col").applyInArrow(_scorer(k), "query_id long, vec_id long, score double")
+    return lists.unionByName(asks).groupBy("task", "row", "col").applyInArrow(_scorer(k), _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.dense_rank().over(by)).filter(F.col("rank") <= k)  # a replica ranks like its other copy
     return ranked.select("query_id", "rank", "vec_id", "score").dropDuplicates(["query_id", "rank"])
 
 
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", router: Router | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds.
+
+    is_query is an expression over a column ``id``. A router that is given serves vectors of its length.
+    """
+    rows = cut(usable(vectors, id_col, vec_col))
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one, as a rule
+    found = [_search_length(rows if len(lengths) == 1 else rows.filter(F.size("v") == n), is_query, k, router) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search_length(rows: DataFrame, is_query: Column, k: int, router: Router | None) -> DataFrame:
+    total = rows.count()
+    if router is None or router.centroids.shape[1] != len(rows.first()["v"]) + 1:
+        router = router_for(rows, total, k)
+    sent = rows.sparkSession.sparkContext.broadcast(router)
+    schema = f"list int, id long, v {dict(rows.dtypes)['v']}"
+    lists = cut(rows.mapInArrow(partial(_route, sent=sent, queries=False), schema))
+    queries = rows.filter(is_query)
+    asks = cut(queries.mapInArrow(partial(_route, sent=sent, queries=True), schema))
+    best = cut(_best(_compared(lists, asks, k), k))
+    wanted = min(k, total - 1)
+    full = best.filter(F.col("rank") == wanted).select(F.col("query_id").alias("id"))
+    short = cut(queries.join(full, "id", "left_anti")) if wanted else queries.limit(0)
+    if short.isEmpty():
+        return best
+    whole = lambda df: df.select(F.lit(0).alias("list"), "id", "v")
+    again = _best(_compared(whole(rows), whole(short), k), k)
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(again.columns).unionByName(again)
+
+
 def op8_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
