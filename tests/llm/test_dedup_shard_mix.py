@@ -1,11 +1,14 @@
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkseek.llm import components, mixing, sharding, simhash
+from sparkseek.llm import mixing, sharding, simhash
+from sparkseek.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, extra int"
 
@@ -81,6 +84,21 @@ def test_links_with_split_tiles_lose_nothing(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_fingerprint_with_most_rows(spark):
+    rows = [(i, "same text here", "en", "s", 0) for i in range(3000)] + [(5000 + i, f"w{i} x{i} y{i} z{i}", "en", "s", 0) for i in range(40)] + [(9000, None, "en", "s", 0)]
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 3041 and {got[i] for i in range(3000)} == {0} and got[5007] == 5007 and got[9000] == 9000
+
+
+def test_forest_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.concatenate([np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    whole = simhash.forest(fps, fps, 2)
+    monkeypatch.setattr(simhash, "CELLS", len(fps) * 3)
+    parts = simhash.forest(fps, fps, 2)
+    assert len(whole[0]) and set(zip(*whole)) == set(zip(*parts))
+
+
 def test_near_duplicates_without_rows_or_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     docs = spark.createDataFrame([(None, "x y z", "en", "s", 1), (None, "x y z", "en", "s", 2), (7, "other text here", "en", "s", 3), (7, "other text here", "en", "s", 3)], DOCS)
@@ -108,6 +126,26 @@ def test_shards(spark):
     assert sharding.shard_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_against_the_draws_by_hand(spark):
+    def draw(key, path, weight):
+        h = xxhash.xxh64_intdigest(path, xxhash.xxh64_intdigest(key, 42))
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / weight
+
+    def shard(key, leaves):
+        inside, path = leaves, ""
+        for level in (lambda x: x.region, lambda x: x.rack, lambda x: str(x.shard)):
+            names = {level(x): sum(y.weight for y in inside if level(y) == level(x)) for x in inside}
+            best = min(names, key=lambda n: (draw(key, f"{path}/{n}", names[n]), n))
+            inside, path = [x for x in inside if level(x) == best], f"{path}/{best}"
+        return inside[0].shard
+
+    docs = spark.createDataFrame([(i, f"t{i % 7}é", "en", "s", i) for i in range(300)], DOCS)
+    for r in sharding.shard_rows(docs.withColumns({"_slot_n": F.lit("x"), "_grown_shard": F.lit("y")})).collect():
+        assert (r["shard"], r["grown_shard"]) == tuple(shard(str(r["doc_id"]), sharding.tree_for(n)) for n in (16, 17))
+        assert (r["size"], r["text_crc32"]) == (len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()))
+        assert (r["_slot_n"], r["_grown_shard"]) == ("x", "y")
+
+
 def test_weights_move_rows_only_within_their_subtree(spark):
     keys = spark.range(4000).withColumnRenamed("id", "doc_id")
     tree = sharding.tree_for(16)
@@ -140,6 +178,22 @@ def test_mixing_meets_its_targets(spark):
     assert again.columns == docs.columns and {r["doc_id"] for r in again.collect()} == set(sampled["doc_id"])
 
 
+@pytest.mark.parametrize("small, rounds", [(50_000, 12), (0, 2)])
+def test_raking_against_numpy(spark, small, rounds):
+    rng = np.random.default_rng(7)
+    table = rng.integers(1, 1000, (4, 3, 2)).astype(float) * (rng.random((4, 3, 2)) > 0.1)
+    goals = [rng.dirichlet(np.ones(n) * 5) for n in table.shape]
+    share = table / table.sum()
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            got = share.sum(axis=tuple(a for a in range(3) if a != axis))
+            share = share * np.expand_dims(goal / got, tuple(a for a in range(3) if a != axis))
+    cells = spark.createDataFrame([(f"{i}", f"{j}", f"{k}", float(table[i, j, k])) for i, j, k in np.ndindex(table.shape)], "a string, b string, c string, tokens double")
+    targets = {m: spark.createDataFrame([(f"{i}", float(g)) for i, g in enumerate(goal)], f"{m} string, target double") for m, goal in zip("abc", goals)}
+    got = {(r["a"], r["b"], r["c"]): r["share"] for r in mixing.rake(cells, targets, rounds, small=small).collect()}
+    assert got == pytest.approx({(f"{i}", f"{j}", f"{k}"): share[i, j, k] for i, j, k in np.ndindex(table.shape)}, rel=1e-9)
+
+
 def test_a_rare_source_is_kept_whole_and_shrinks_no_other(spark):
     rows = [(i, "w " * 50, "en", f"s{i % 4}", 0) for i in range(2000)]
     rare = spark.createDataFrame([*rows, (9999, "w " * 10, "en", None, 0)], DOCS)
@@ -164,6 +218,8 @@ def test_mixing_edges(spark):
     got = mixing.mix(docs).collect()
     assert len(got) == 3 and all(r["keep_probability"] == 1.0 and r["topic"] == "empty" for r in got)
     assert mixing.sample(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("own") for c in ("_source", "_topic", "kept", "draw", "sampled")})
+    assert mixing.sample(clash).collect() == clash.collect() and mixing.mix(clash).count() == 3
 
 
 def test_token_count(spark):

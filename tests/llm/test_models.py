@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm import ann, chat, decontam, langid, toxicity
 
@@ -19,10 +21,13 @@ def made_up(lang, n, rng):
 # language
 
 
+def trained(texts_by_lang):
+    counted = [np.unique(np.concatenate([langid.packed([langid.symbols(t)])[0] for t in texts]), return_counts=True) for texts in texts_by_lang.values()]
+    return langid.Model(list(texts_by_lang), [g for g, _ in counted], [c for _, c in counted])
+
+
 def test_kneser_ney_is_a_distribution():
-    texts = ["abracadabra abra", "cadabra bar"]
-    grams, counts = np.unique(np.concatenate([langid.packed([langid.symbols(t)])[0] for t in texts]), return_counts=True)
-    model = langid.Model(["x"], [grams], [counts])
+    model = trained({"x": ["abracadabra abra", "cadabra bar"]}).models[0]
     letters = [ord(c) for c in "abrcd "]
     for context in ("   ", "abr", "xyz", " ca", "zab"):
         packed = 0
@@ -32,6 +37,49 @@ def test_kneser_ney_is_a_distribution():
         assert np.exp(model.log_p(keys)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def brute_kneser_ney(texts, alphabet):
+    """A function from a 4-gram to the chance of its last character, from the definition."""
+    read = lambda t: "   " + "".join(map(chr, langid.symbols(t)))
+    grams = Counter(s[i : i + 4] for s in map(read, texts) for i in range(len(s) - 3))
+    orders = {4: grams}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+
+    def chance(g):
+        if not g:
+            return 1 / alphabet
+        counts = orders[len(g)]
+        n1, n2 = (sum(v == n for v in counts.values()) for n in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        after = [v for h, v in counts.items() if h[:-1] == g[:-1]]
+        return chance(g[1:]) if not after else max(counts[g] - d, 0) / sum(after) + d * len(after) / sum(after) * chance(g[1:])
+
+    return lambda text: -np.mean([np.log(chance(s[i : i + 4])) for s in [read(text)] for i in range(len(s) - 3)])
+
+
+def test_kneser_ney_against_its_definition():
+    rng = random.Random(4)
+    texts = {lang: [made_up(lang, 12, rng) for _ in range(6)] for lang in ("aa", "bb")}
+    model = trained(texts)
+    alphabet = len({c for t in texts.values() for s in t for c in map(int, langid.symbols(s))}) + 1
+    asked = [made_up("aa", 5, rng), made_up("bb", 5, rng), "the schunge", "Zzz qqq", "x"]
+    got, lengths = model.entropies(asked)
+    for i, lang in enumerate(texts):
+        brute = brute_kneser_ney(texts[lang], alphabet)
+        assert got[:, i] == pytest.approx([brute(t) for t in asked], rel=1e-5)
+    assert lengths.tolist() == [len(langid.symbols(t)) for t in asked]
+
+
+def test_languages_in_groups_give_the_same(spark):
+    rng = random.Random(8)
+    rows = [(i, made_up("aa" if i % 2 else "bb", rng.randint(3, 30), rng), ["bb", "aa", "cc"][i % 2 if i % 7 else 2], "s", "x") for i in range(120)] + [(900, None, "aa", "s", "x"), (901, "12", None, "s", "x")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_text": F.lit("own"), "h": F.lit(1), "n": F.lit(2)})
+    whole = langid.identify(docs, langid.train(docs)).orderBy("doc_id").collect()
+    model = langid.train(docs, model_bytes=1)
+    assert len(model.groups(1)) == 3 and len(model.groups(1 << 30)) == 1
+    assert langid.identify(docs, model, model_bytes=1).orderBy("doc_id").collect() == whole
+
+
 def test_symbols():
     read = lambda t: "".join(map(chr, langid.symbols(t)))
     assert read("  Ab, c1\n") == "ab c " and read("É") == "é " and read("12 !") == "" and read(None) == ""
@@ -56,7 +104,7 @@ def test_a_small_language_beside_more_than_a_million_grams(spark):
     rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x8E00, 20_000))), "zh") for i in range(80)]
     rows += [(1000 + i, f"{w}q once", "xx") for i, w in enumerate(["abc", "defg", "hijk", "lmno", "prst", "uvwy"])]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
-    assert model.langs == ["xx", "zh"] and len(model.grams[langid.ORDER].hashes) > 1_000_000
+    assert model.langs == ["xx", "zh"] and len(model.models[1].grams[langid.ORDER].hashes) > 1_000_000
 
 
 def test_limits_are_finite_and_one_odd_row_opens_none(spark):
@@ -126,6 +174,21 @@ def test_contaminated_documents_go(spark, tmp_path):
     assert got[1]["items_sha256"] == hashlib.sha256(b"10,7").hexdigest() and got[1]["n_items"] == 2
 
 
+def test_stages_leave_clashing_columns_alone(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, 7, "a"), (2, "other words", 8, "b")], "doc_id long, text string, n_words int, hit_spans string").withColumn("_found_n_words", F.lit("c"))
+    bench = spark.createDataFrame([(i, f"{item} v{i}") for i in range(30)], "item_id long, text string")
+    for group_bytes in (1 << 20, 500):
+        (row,) = decontam.drop_contaminated(docs, bench, group_bytes=group_bytes).collect()
+        assert tuple(row) == (2, "other words", 8, "b", "c")
+
+
+def test_spans_of_several_passes_join(spark):
+    rows = [([(5, 9), (1, 3), (3, 4), (9, 12), (20, 21)],), ([],)]
+    got = spark.createDataFrame(rows, "s array<struct<begin: long, end: long>>").select(decontam._union_of_spans(F.col("s")).alias("s")).collect()
+    assert [[tuple(x) for x in r["s"]] for r in got] == [[(1, 4), (5, 12), (20, 21)], []]
+
+
 # chat
 
 
@@ -166,10 +229,36 @@ def test_toxicity_on_held_out_rows(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, known)).collect()}
     assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(600))
     assert got[1000] == got[1001] < 0.5
+    clash = docs.withColumns({"_text": F.lit("idiotx"), "words": F.lit(1)})
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(clash, toxicity.train(clash, known)).collect()} == got
     empty = toxicity.train(docs, known.limit(0))
     assert toxicity.score(docs, empty).filter("score < 0.01").count() == len(rows) and toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_whole_texts_are_observed():
+    text = "a" * 150_000 + " ! B" * 50_000
+    seen = toxicity.observe(text)
+    assert (seen.letters, seen.capitals, seen.exclamations) == (200_000, 50_000, 50_000) and set(seen.words) == {"a" * 150_000, "b"}
+    assert toxicity.observe(None) == toxicity.observe("") == toxicity.Observed([], 0, 0, 0)
+
+
+def test_toxicity_without_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.op7_toxicity(spark, str(tmp_path)).count() == 0 and langid.op9_language_id(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 977}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long, "aa", "s", "x"), (2, "short text", "bb", "s", "x"), (3, "", "aa", "s", "x")], DOCS)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got[2] == "bb" and got[3] == "und"
+    bench = spark.createDataFrame([(1, " ".join(f"word{i % 977}" for i in range(976, 990)))], "item_id long, text string")
+    (row,) = decontam.mark(docs.filter("doc_id = 1"), bench).collect()
+    assert row["n_words"] == 200_000 and sum(s["end"] - s["begin"] for s in row["hit_spans"]) == 14 * (200_000 // 977) + 13  # the text begins with the second window
+    assert toxicity.score(docs, toxicity.Classifier([], np.empty(0), 0.0)).filter("score = 0.5").count() == 3
+
+
 # vectors
 
 
@@ -207,4 +296,26 @@ def test_vectors_that_take_no_part(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(docs, ann.F.col("id") % 20 == 0).collect()]
     assert sorted(got) == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
+    lengths = docs.unionByName(spark.createDataFrame([(40, [2.0]), (60, [1.0, 1.0, 1.0])], docs.schema))
+    more = [tuple(r) for r in ann.search(lengths, ann.F.col("id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(more) == sorted([*got, (40, 1, 7, 2.0)])
     assert ann.search(docs.limit(0), ann.F.col("id") % 20 == 0).count() == 0
+
+
+def test_queries_whose_lists_are_short_read_everything(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((900, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    most = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1).max()))
+    router = ann.Router(ann.balanced_centroids(ann._even(v.astype(np.float64), most), 150), most)  # lists of about six; one is read
+    got = {}
+    for r in ann.search(rows, ann.F.col("id") % 20 == 0, router=router).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    exact = brute_nearest(np.arange(len(v)), v.astype(np.float64), 20)
+    assert {i: [g[k] for k in range(1, 21)] for i, g in got.items()} == exact
+
+
+def test_ties_at_the_last_rank_go_to_smaller_ids(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i < 15)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(rows, ann.F.col("id") == 20).collect()]
+    assert sorted(got) == [(i + 1, j) for i, j in enumerate([*range(20)])]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkseek.llm import queries
 
@@ -29,5 +31,22 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_stages_on_nulls_clashes_and_nothing(spark, tmp_path):
+    own = {"n_words": 3, "hit_spans": "a", "_source": "b", "_topic": "c", "_shard": "d", "score": "e", "sampled": "f", "_text": "g", "_row": "h", "fp": "i", "kept": "j"}
+    rows = [(i, f"alpha{i} beta{i} gamma{i} delta{i} words go on", "en", "s", 0) for i in range(30)] + [(None, "no id at all here but words", "en", None, None), (None, None, None, None, None), (3, "a repeated id with other words", None, "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c, v in own.items():
+        docs = docs.withColumn(c, F.lit(v))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema and all(r[c] == v for r in out.collect() for c, v in own.items())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(own) < set(last.columns) and last.count() > 20 and last.filter("fp <> 'i' or _shard <> 'd'").count() == 0
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
