@@ -15,6 +15,7 @@ from sparkseek.operators.search import search
 from sparkseek.plans.filters import apply_filters
 from sparkseek.plans.query import parse_query
 from sparkseek.plans.request import SearchRequest
+from sparkseek.registry import QUERIES, SQL, query
 from sparkseek.sources import files
 from sparkseek.sources.tables import documents_catalog, events_catalog, orders_catalog, pages_catalog, table
 
@@ -44,20 +45,6 @@ def _words_sql(s: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({s}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3)"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # Filters of the query language
 
 FILTERS = {
@@ -73,10 +60,20 @@ FILTERS = {
     "filter_tag": ("tag:Toxic", "list_contains(user_tags, 'toxic')"),
     "filter_collection": ("collection:fr", "list_contains(collections, 'fr')"),
     "filter_exclude": ('-und -"of the"', "NOT (contains(lower(text), 'und') OR contains(name, 'und') OR contains(user_tags_json, 'und')) AND NOT contains(lower(text), 'of the')"),
-    "filter_excluded_filter": ("-ext:de -http://x", "true"),
+    "filter_excluded_filter": ("-ext:de -http://x -in:the", "NOT (contains(lower(text), 'ext:de') OR contains(lower(text), 'http://x') OR contains(lower(text), 'in:the'))"),
+    "filter_unknown_key": ("-note:x size:1e9zz ext:en", "NOT contains(lower(text), 'note:x') AND ends_with(lower(name), '.en')"),
     "filter_orientation": ("is:portrait", "height > width"),
     "filter_landscape_pinned": ("is:landscape is:pinned", "width > height AND pinned"),
     "filter_hidden": ("", "true"),
+    "filter_date_year": ("date:2024", "mtime >= 1704067200000 AND mtime < 1735689600000"),
+    "filter_date_day": ("date:2024-01-05", "mtime >= 1704412800000 AND mtime < 1704499200000"),
+    "filter_date_year_month": ("date:2024-1", "mtime >= 1704067200000 AND mtime < 1706745600000"),
+    "filter_date_yesterday": ("date:yesterday", "mtime >= 1704758400000 AND mtime < 1704844800000"),
+    "filter_date_invalid": ("-date:2024-13", "NOT contains(lower(text), 'date:2024-13')"),
+    "filter_size_exact": ("size:<=2kb", "size < 2049"),
+    "filter_size_dash": ("size:1.5k-0.002mb", "size >= 1536 AND size < 2098"),
+    "filter_size_word_small": ("size:small", "size >= 10240 AND size < 102400"),
+    "filter_phrase_quotes": ('path:"src1/en" in:"src1"', "contains(lower(path), 'src1/en') AND contains(lower(left(path, length(path) - length(name))), '/src1')"),
 }
 
 
@@ -205,6 +202,9 @@ def text_rank_chain(spark, d):
     return ordering.with_rank(hits, lexical.ranking()).select("id", "kind", "score", "rank")
 
 
+_WHOLE_IDIOT = _whole_sql("idiot")
+
+
 @query("has_word", f"{CAT} SELECT id, {_whole_sql('the')} = 1 AS whole FROM cat")
 def has_word(spark, d):
     return documents_catalog(spark, d).select("id", T.has_word(lexical.haystack(), "the").alias("whole"))
@@ -241,23 +241,29 @@ def misreads(spark, d):
     return fuzzy.misreads(fuzzy.vocabulary(documents_catalog(spark, d)), "ldlot")
 
 
-@query("correction_candidates")
+_NEAR = "word LIKE 's%' AND abs(length(word) - 6) <= 2"
+#: DuckDB's distances count bytes, so other letters stand as one that is in no term.
+_PLAIN_WORD = "regexp_replace(word, '[^a-z0-9]', '~', 'g')"
+
+
+@query("correction_candidates", f"{_VOCAB} SELECT word, n FROM vocab WHERE {_NEAR} AND levenshtein({_PLAIN_WORD}, 'stuped') <= 4")
 def correction_candidates(spark, d):
     vocab = fuzzy.vocabulary(documents_catalog(spark, d))
     near = vocab.filter(F.col("word").startswith("s") & (F.abs(F.length("word") - 6) <= 2))
     return near.filter(F.levenshtein("word", F.lit("stuped"), 4) >= 0).select("word", "n")
 
 
-@query("corrections_osa")
+@query("corrections_osa", f"{_VOCAB} SELECT word, n, damerau_levenshtein({_PLAIN_WORD}, 'stuipd') AS typos FROM vocab WHERE {_NEAR} AND damerau_levenshtein({_PLAIN_WORD}, 'stuipd') <= 2")
 def corrections_osa(spark, d):
     return fuzzy.corrections(fuzzy.vocabulary(documents_catalog(spark, d)), "stuipd")
 
 
-@query("line_overlap", "WITH x AS (SELECT doc_id, list_distinct(string_split(text, chr(10))) AS l FROM documents) SELECT a.doc_id AS id, len(list_intersect(a.l, b.l)) AS n FROM x a JOIN x b ON b.doc_id = a.doc_id + 20")
+@query("line_overlap", "WITH x AS (SELECT doc_id, list_distinct(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS l FROM documents WHERE text <> '') SELECT a.doc_id AS id, round(len(list_intersect(a.l, b.l)) / greatest(len(a.l), len(b.l))::DOUBLE, 6) AS score FROM x a JOIN x b ON b.doc_id = a.doc_id + 20 WHERE len(a.l) >= 4 AND len(b.l) >= 4 AND len(list_intersect(a.l, b.l)) / greatest(len(a.l), len(b.l))::DOUBLE >= 0.7 UNION ALL SELECT a.doc_id, 1.0 FROM x a JOIN x b ON b.doc_id = a.doc_id + 20 WHERE len(a.l) < 4 OR len(b.l) < 4")
 def line_overlap(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.array_distinct(F.split("text", "\n")).alias("l"))
+    lines = table(spark, d, "documents").filter("text <> ''").select("doc_id", bursts.distinct_lines(F.col("text")).alias("l"))
     later = lines.select((F.col("doc_id") - 20).alias("doc_id"), F.col("l").alias("m"))
-    return lines.join(later, "doc_id").select(F.col("doc_id").alias("id"), F.size(F.array_intersect("l", "m")).cast("long").alias("n"))
+    score = bursts.similarity(F.col("l"), F.col("m"), F.lit(3).cast("long"), F.lit(3).cast("long"))
+    return lines.join(later, "doc_id").select(F.col("doc_id").alias("id"), F.round(score, 6).alias("score")).filter("score is not null")
 
 
 # Actions and other scalars
@@ -279,7 +285,7 @@ def _notes(spark, d) -> DataFrame:
 for _kind, _value in _ACTIONS.items():
 
     def _action(spark, d, kind=_kind):
-        found = F.filter(T.detect_actions(F.col("note")), lambda a: a["kind"] == kind)
+        found = T.detect_actions(F.col("note"), (kind,))
         return _notes(spark, d).select("id", F.array_join(F.transform(found, lambda a: a["value"]), " ").alias("value"))
 
     query(f"actions_{_kind}", f"SELECT o_orderkey AS id, {_value} AS value FROM orders")(_action)
@@ -313,17 +319,19 @@ def color_name(spark, d):
     return _part_colors(spark, d).select("id", T.color_name(F.col("hex")).alias("name"))
 
 
-_SIGNS = "SELECT vec_id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM embeddings WHERE vec_id < 100"
+_SIGNS = "SELECT vec_id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM embeddings"
 
 
-@query("hamming", f"WITH s AS ({_SIGNS}) SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id")
+@query("hamming", f"WITH s AS ({_SIGNS}) SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits) AS bits FROM s a JOIN s b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 37")
 def hamming(spark, d):
+    """Every vector's signs against those of two later ones."""
     nibble = lambda v, i: F.lower(F.conv(F.array_join(F.slice(v, 4 * i + 1, 4), ""), 2, 16))
     bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
-    s = table(spark, d, "embeddings").filter("vec_id < 100").select("vec_id", bits.alias("v"))
+    s = table(spark, d, "embeddings").select("vec_id", bits.alias("v"))
     s = s.select("vec_id", F.concat(*(nibble(F.col("v"), i) for i in range(16))).alias("h"))
     other = s.select(F.col("vec_id").alias("b"), F.col("h").alias("g"))
-    return s.join(other, F.col("vec_id") < F.col("b")).select(F.col("vec_id").alias("a"), "b", T.hamming(F.col("h"), F.col("g")).cast("long").alias("bits"))
+    later = s.withColumn("b", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 37)))
+    return later.join(other, "b").select(F.col("vec_id").alias("a"), "b", T.hamming(F.col("h"), F.col("g")).cast("long").alias("bits"))
 
 
 @query("parse_links", "SELECT page_id AS id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^(http|https|mailto):')")
@@ -378,16 +386,16 @@ def prompt_max(spark, d):
 
 @query(
     "rrf_fusion",
-    "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE doc_id % 2 = 0),"
-    " b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0)"
+    "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),"
+    " b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(text, 'er'))"
     " SELECT id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score, CASE WHEN a.rank IS NULL THEN 'visual' ELSE 'text' END AS kind,"
     " concat_ws(' ', CASE WHEN a.rank IS NOT NULL THEN 'text' END, CASE WHEN b.rank IS NOT NULL THEN 'visual' END) AS evidence FROM a FULL JOIN b USING (id)",
 )
 def rrf_fusion(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", "text")
     kind = lambda df, k: df.withColumns({"kind": F.lit(k), "evidence": F.array(F.lit(k))})
-    a = kind(ordering.with_rank(docs.filter("id % 2 = 0"), [F.desc("n_chars"), F.asc("id")]), "text")
-    b = kind(ordering.with_rank(docs.filter("id % 3 = 0"), [F.asc("id")]), "visual")
+    a = kind(ordering.with_rank(docs.drop("text"), [F.desc("n_chars"), F.asc("id")]), "text")
+    b = kind(ordering.with_rank(docs.filter(F.col("text").contains("er")).drop("text"), [F.asc("id")]), "visual")
     return fusion.reciprocal_rank_fusion(a, b).select("id", F.round("score", 9).alias("score"), "kind", F.array_join("evidence", " ").alias("evidence"))
 
 
@@ -400,15 +408,16 @@ def fold_groups(spark, d):
 # Bursts
 
 _EV = """
-WITH s AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM embeddings WHERE vec_id < 500),
-e AS (SELECT event_id AS id, user_id, epoch_ms(ts) AS ms, bits FROM events JOIN s ON vec_id = event_id % 500),
-p AS (SELECT a.id AS a, b.id AS b, 1 - hamming(a.bits, b.bits) / 64.0 AS score FROM e a JOIN e b ON a.user_id = b.user_id AND a.id <> b.id AND abs(a.ms - b.ms) <= 600000 WHERE hamming(a.bits, b.bits) <= 6)
+WITH e AS (SELECT event_id AS id, user_id % 12 AS folder, epoch_ms(ts) AS ms, xor((event_id // 3 * 40503) % 1048576 * 4096, (1 << CAST(event_id % 7 AS INTEGER))::BIGINT) AS h FROM events),
+p AS (SELECT a.id AS a, b.id AS b, b.ms AS b_ms, 1 - bit_count(xor(a.h, b.h)) / 64.0 AS score FROM e a JOIN e b ON a.folder = b.folder AND a.id <> b.id AND abs(a.ms - b.ms) <= 600000 WHERE bit_count(xor(a.h, b.h)) <= 6)
 """
 
 
 def _event_bursts(spark, d) -> DataFrame:
-    """Events of the vectors' first eight signs only, so that some are alike."""
-    return events_catalog(spark, d)
+    """Events in twelve folders; hashes of neighbours in time differ in few bits or in many."""
+    i = F.col("id")
+    h = ((F.floor(i / 3) * 40503) % 1048576 * 4096).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 7).cast("int")))
+    return events_catalog(spark, d).withColumns({"dhash": h.cast("long"), "folder": (F.col("folder").cast("long") % 12).cast("string")})
 
 
 @query("burst_pairs", f"{_EV} SELECT a, b, round(score, 6) AS score FROM p")
@@ -416,14 +425,24 @@ def burst_pairs(spark, d):
     return bursts.burst_pairs(_event_bursts(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
 
 
-_DOC_BURST = f"""{CAT}, x AS (SELECT id, folder, mtime, list_distinct(string_split(text, chr(10))) AS l FROM cat WHERE NOT hidden),
+@query("best_neighbours", f"{_EV} SELECT a AS id, b AS neighbour, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b_ms, b) = 1")
+def best_neighbours(spark, d):
+    return bursts.best_neighbours(_event_bursts(spark, d)).select("id", "neighbour", F.round("score", 6).alias("score"))
+
+
+#: Documents as lines: the words of each in fives, with one of its lines replaced now and then; twins stand a minute apart.
+_DOC_BURST = f"""{CAT}, w AS (SELECT id // 2 * 2 + k AS id, folder, (id // 2 * 600 + k * 60) * 1000 AS mtime, CASE WHEN k = 0 OR id % 3 > 0 THEN text ELSE replace(text, ' the', chr(10) || 'the') END AS text FROM cat, (SELECT unnest([0, 1]) AS k) WHERE id % 2 = 0),
+x AS (SELECT id, folder, mtime, list_distinct(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS l, text FROM w),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.l, b.l)) / greatest(len(a.l), len(b.l))::DOUBLE AS score FROM x a JOIN x b
-  ON a.folder = b.folder AND a.id <> b.id AND abs(a.mtime - b.mtime) <= 600000 WHERE len(a.l) >= 4 AND len(b.l) >= 4)"""
+  ON a.folder = b.folder AND a.id <> b.id AND abs(a.mtime - b.mtime) <= 600000 WHERE len(a.l) >= 4 AND len(b.l) >= 4 AND a.text <> '' AND b.text <> '')"""
 
 
 def _lined(spark, d) -> DataFrame:
-    """Documents whose hashes differ in every bit, so that only lines make bursts."""
-    return documents_catalog(spark, d).withColumn("dhash", F.when(F.floor(F.col("id") / 20) % 2 == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long"))
+    """Every document of an even id twice, a minute apart, some with more lines; hashes differ in every bit, so that only lines make bursts."""
+    rows = documents_catalog(spark, d).filter(F.col("id") % 2 == 0).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when((F.col("k") == 0) | (F.col("id") % 3 > 0), F.col("text")).otherwise(F.replace("text", F.lit(" the"), F.lit("\nthe")))
+    mtime = (F.floor(F.col("id") / 2) * 600 + F.col("k") * 60) * 1000
+    return rows.withColumns({"text": text, "mtime": mtime.cast("long"), "dhash": F.when(F.col("k") == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long"), "id": F.col("id") + F.col("k"), "hidden": F.lit(False)}).drop("k")
 
 
 @query("burst_lines", f"{_DOC_BURST} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.7")
@@ -441,14 +460,20 @@ g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 600000 THEN 0 ELSE 1 END AS new
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, id) AS run FROM g)"""
 
 
-@query("burst_components", f"{_CHAINS} SELECT id, min(id) OVER (PARTITION BY user_id, run) AS group_id FROM r QUALIFY count(*) OVER (PARTITION BY user_id, run) > 1")
+@query("burst_components", f"{_EV.replace('WITH e', 'WITH RECURSIVE e')}, reach AS (SELECT a AS id, a AS r FROM p UNION SELECT p.b, reach.r FROM reach JOIN p ON p.a = reach.id) SELECT id, min(r) AS group_id FROM reach GROUP BY id")
 def burst_components(spark, d):
+    return bursts.burst_components(_event_bursts(spark, d))
+
+
+@query("burst_chains", f"{_CHAINS} SELECT id, min(id) OVER (PARTITION BY user_id, run) AS group_id FROM r QUALIFY count(*) OVER (PARTITION BY user_id, run) > 1")
+def burst_chains(spark, d):
     return bursts.burst_components(_one_hash(spark, d))
 
 
 @query("burst_ingest_order")
 def burst_ingest_order(spark, d):
-    return bursts.group_bursts(_one_hash(spark, d), "ingest")
+    """In ingest order, which no SQL follows; the tests compare it with the rule by hand."""
+    return bursts.group_bursts(_event_bursts(spark, d), "ingest")
 
 
 # Ingest
@@ -478,10 +503,9 @@ def sidecar_import(spark, d):
     return files.import_sidecars(catalog, sidecars, "capture").select("id", "source_url")
 
 
-@query("path_rules", "SELECT doc_id AS id, CASE WHEN doc_id % 20 = 3 THEN NULL WHEN doc_id % 20 = 5 THEN '/lib/src5' ELSE '/lib' END AS root, lang = 'fr' AS skipped FROM documents WHERE source = 'src' || (doc_id % 20)")
+@query("path_rules", "SELECT doc_id AS id, CASE WHEN source = 'src3' THEN NULL WHEN source = 'src5' THEN '/lib/src5' ELSE '/lib' END AS root, lang = 'fr' AS skipped FROM documents")
 def path_rules(spark, d):
-    rows = documents_catalog(spark, d).filter(F.col("folder") == F.concat(F.lit("/lib/src"), F.col("id") % 20))
-    return rows.select("id", files.root_of(F.col("path"), ["/lib", "/lib/src5"], ["/lib/src3"]).alias("root"), files.skipped(F.col("path"), "/lib", ("FR",)).alias("skipped"))
+    return documents_catalog(spark, d).select("id", files.root_of(F.col("path"), ["/lib", "/lib/src5"], ["/lib/src3"]).alias("root"), files.skipped(F.col("path"), "/lib", ("FR",)).alias("skipped"))
 
 
 # Statistics
@@ -506,15 +530,17 @@ def stats_months(spark, d):
     return stats.months(orders_catalog(spark, d), datetime(1998, 6, 15))
 
 
-@query("stats_colors", f"SELECT name, count(*) AS items FROM ({_HSL}) GROUP BY name ORDER BY items DESC, name LIMIT 8")
+@query("stats_colors", f"SELECT name, min_by(hex, id) AS hex, count(*) AS items FROM ({_HSL}) JOIN (SELECT p_partkey AS id, {_HEX} AS hex FROM part) USING (id) GROUP BY name ORDER BY items DESC, name LIMIT 8")
 def stats_colors(spark, d):
     rows = _part_colors(spark, d).select("id", F.array("hex").alias("colors"), F.lit(False).alias("hidden"))
-    return stats.colors(rows).select("name", "items")
+    return stats.colors(rows)
 
 
-@query("status_counts", "SELECT count(*) AS total, count(*) AS read, count(embedding) AS embedded, 0 AS errors, 0 AS sharp FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 <> 49")
+@query("status_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 9 > 0) AS read, count(embedding) AS embedded, count(*) FILTER (WHERE doc_id % 9 = 0 OR doc_id % 7 = 3) AS errors, count(*) FILTER (WHERE doc_id % 4 = 1) AS sharp FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 50 <> 49")
 def status_counts(spark, d):
-    return stats.status(documents_catalog(spark, d, vectors=True), "v1")
+    i = F.col("id")
+    rows = documents_catalog(spark, d, vectors=True).withColumns({"stage": F.when(i % 9 == 0, -1).otherwise(F.col("stage")), "error": F.when(i % 7 == 3, "bad"), "ocr": (i % 4 == 1).cast("int")})
+    return stats.status(rows, "v1")
 
 
 @query("failures", "SELECT o_orderkey AS id, 'Could not be read' AS message FROM orders WHERE o_orderstatus = 'F'")
@@ -524,8 +550,8 @@ def failures(spark, d):
 
 @query("bounded_count", "SELECT least(count(*), 41) AS n FROM orders WHERE o_orderstatus = 'O'")
 def bounded_count(spark, d):
-    waiting = orders_catalog(spark, d).filter("text = 'O'").limit(stats.BACKLOG + 1)
-    return waiting.agg(F.count("*").alias("n"))
+    waiting = orders_catalog(spark, d).withColumn("stage", F.when(F.col("text") == "O", 0).otherwise(1))
+    return stats.waiting(waiting).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -574,8 +600,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from sparkseek import more_queries  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sparkseek import more_queries  # noqa: F401
+
     return dict(SQL)

@@ -25,6 +25,8 @@ EXPRESSIONS = {
     "ascii_lower(s STRING) RETURNS STRING": "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
     "hash_distance(a STRING, b STRING) RETURNS INT": "CASE WHEN a RLIKE '^[+]?[0-9A-Fa-f]{1,16}$' AND b RLIKE '^[+]?[0-9A-Fa-f]{1,16}$' THEN bit_count(CAST(conv(a, 16, -10) AS BIGINT) ^ CAST(conv(b, 16, -10) AS BIGINT)) ELSE 64 END",
     "word_list(s STRING) RETURNS ARRAY<STRING>": r"filter(split(lower(coalesce(s, '')), '[^\\p{IsAlphabetic}\\p{N}]+'), w -> length(w) >= 3)",
+    r"has_word(s STRING, term STRING) RETURNS BOOLEAN": r"s RLIKE concat('(?<![\\p{IsAlphabetic}\\p{N}])\\Q', term, '\\E(?![\\p{IsAlphabetic}\\p{N}])')",
+    "quantise(v ARRAY<FLOAT>) RETURNS ARRAY<INT>": "transform(v, x -> CAST(round(CAST(x AS DOUBLE) / (greatest(CAST(array_max(transform(v, y -> abs(y))) AS DOUBLE), 1e-12) / 127D)) AS INT))",
 }
 
 

@@ -59,6 +59,12 @@ def fold(s: Column) -> Column:
     return F.translate(strip_accents(paired), LOOKALIKE_FROM, LOOKALIKE_TO)
 
 
+def folded_length(s: Column) -> Column:
+    """The length of fold(s): only the pairs make a text shorter, and no pair shares a letter with another."""
+    low = F.lower(s)
+    return F.length(low) - F.regexp_count(low, F.lit("|".join(pair for pair, _ in LOOKALIKE_PAIRS)))
+
+
 def words(s: Column) -> Column:
     """Lower-case words of three letters or digits or more."""
     return F.transform(F.filter(F.split(F.coalesce(s, F.lit("")), f"[^{ALNUM}]+"), lambda w: F.length(w) >= 3), F.lower)
@@ -168,12 +174,22 @@ def hex_colors(text: Column) -> Column:
     return F.transform(_all(text, HEX_COLOR_PATTERN, "iU"), F.lower)
 
 
-def detect_actions(text: Column) -> Column:
-    """Up to 16 distinct (kind, value) in the order e-mail, link, code, phone, colour."""
-    kinds = {"email": emails, "url": urls, "code": codes, "phone": phones, "color": hex_colors}
+#: What finds each kind of action, in order, and a cheap test that holds wherever there is one.
+ACTIONS = {
+    "email": (emails, lambda t: t.contains("@")),
+    "url": (urls, lambda t: t.contains(".") | t.contains("://")),
+    "code": (codes, lambda t: t.rlike("[0-9]{4}")),
+    "phone": (phones, lambda t: t.rlike("[0-9]{2}")),
+    "color": (hex_colors, lambda t: t.contains("#")),
+}
+
+
+def detect_actions(text: Column, kinds: tuple[str, ...] = tuple(ACTIONS)) -> Column:
+    """Up to 16 distinct (kind, value) of these kinds, in the order e-mail, link, code, phone, colour."""
     t = F.coalesce(text, F.lit(""))
     named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    found = F.concat(*(F.transform(f(t), named(k)) for k, f in kinds.items()))
+    none = F.array().cast(f"array<{ACTION}>")
+    found = F.concat(*(F.when(test(t), F.transform(f(t), named(k))).otherwise(none) for k, (f, test) in ACTIONS.items() if k in kinds))
     same = lambda a, b: (a["kind"] == b["kind"]) & (ascii_lower(a["value"]) == ascii_lower(b["value"]))
     add = lambda seen, x: F.when(F.exists(seen, lambda s: same(s, x)) | (F.size(seen) >= MAX_ACTIONS), seen).otherwise(F.concat(seen, F.array(x)))
     return F.aggregate(found, F.array().cast(f"array<{ACTION}>"), add)

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions.text import has_word, literal, overlaps_itself
+from sparkseek.operators.checkpoints import cut
 from sparkseek.plans.filters import TEXT_COLUMNS, holds
 from sparkseek.plans.request import COLUMN_WEIGHTS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: The columns of a row that a hit shows; texts, geometry and vectors are read for one page only.
+SHOWN = ("id", "path", "name", "folder", "mtime", "size", "width", "height", "stage", "pinned", "colors", "group_id")
 _WEIGHT = {c: COLUMN_WEIGHTS["user_tags" if c == "user_tags_json" else c] for c in TEXT_COLUMNS}
 
 
@@ -43,8 +46,9 @@ def occurrences(text: Column, phrase: str) -> Column:
 
 
 def trigrams() -> Column:
-    """How many trigrams the row's indexed columns have together."""
-    return reduce(Column.__add__, [F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in (*TEXT_COLUMNS, "norm")])
+    """How many trigrams the row's indexed columns have together, the folded text included."""
+    lengths = [F.length(F.coalesce(F.col(c), F.lit(""))) for c in TEXT_COLUMNS] + [F.coalesce("norm_length", F.lit(0))]
+    return reduce(Column.__add__, [F.greatest(n - 2, F.lit(0)) for n in lengths])
 
 
 def corpus_statistics(catalog: DataFrame, phrases: list[str]) -> tuple[int, float, dict[str, int]]:
@@ -84,19 +88,22 @@ def matches(groups: list[list[str]], short: list[str]) -> Column:
     return reduce(Column.__and__, long_tests + short_tests, F.lit(True))
 
 
-def text_hits(catalog: DataFrame, eligible: DataFrame, groups: list[list[str]], short: list[str], near: bool = False) -> DataFrame:
-    """Matching rows of eligible with whole, r (BM25), score, bucket, kind and evidence.
+def text_hits(catalog: DataFrame, eligible: DataFrame, groups: list[list[str]], short: list[str], near: bool = False, statistics: tuple[int, float, dict[str, int]] | None = None) -> DataFrame:
+    """What a hit shows of the matching rows of eligible, with whole, r (BM25), score, bucket, kind and evidence.
 
     The score is r over the smallest r of the result, and its bucket is a quarter of that scale.
+    Texts are read once for the statistics, unless these are given, and once for the hits, which
+    are kept without them.
     """
     phrases = list(dict.fromkeys(t for g in groups for t in g))
+    shown = [c for c in SHOWN if c in eligible.columns]
     found = eligible.filter(matches(groups, short)).withColumn("whole", whole_words(groups, short))
     if phrases:
         every = [t for g in groups for t in g]
-        found = found.withColumn("r", bm25(every, corpus_statistics(catalog, phrases)))
+        found = cut(found.select(*shown, "whole", bm25(every, statistics or corpus_statistics(catalog, phrases)).alias("r")))
         worst = found.agg(F.min("r")).first()[0] or 0.0
     else:
-        found, worst = found.withColumn("r", F.lit(0.0)), 0.0
+        found, worst = cut(found.select(*shown, "whole", F.lit(0.0).alias("r"))), 0.0
     score = F.col("r") / F.lit(worst) if worst < 0 else F.lit(1.0)
     bucket = F.floor(F.col("r") / F.lit(worst) * 4).cast("long") if worst < 0 else F.lit(0).cast("long")
     wanted = len(groups) + len(short)

@@ -96,7 +96,7 @@ def stored(catalog: DataFrame, read: DataFrame) -> DataFrame:
     read holds (id, ok, message, text, lines, dhash, colors, tags). A failed first reading sets
     stage -1; a failed later one keeps what was read before.
     """
-    from sparkseek.functions.text import fold
+    from sparkseek.functions.text import fold, folded_length
 
     fresh = read.select("id", *(F.col(c).alias(f"r_{c}") for c in ("ok", "message", "text", "lines", "dhash", "colors", "tags")))
     rows = catalog.join(fresh, "id", "left")
@@ -104,13 +104,14 @@ def stored(catalog: DataFrame, read: DataFrame) -> DataFrame:
     values = {c: F.when(ok, F.col(f"r_{c}")).otherwise(F.col(c)) for c in ("text", "lines", "dhash", "colors", "tags")}
     values |= {
         "norm": F.when(ok, fold(F.col("r_text"))).otherwise(F.col("norm")),
+        "norm_length": F.when(ok, folded_length(F.col("r_text"))).otherwise(F.col("norm_length")),
         "embedding": F.when(~ok, F.col("embedding")),
         "embedding_version": F.when(~ok, F.col("embedding_version")),
         "stage": F.when(ok, 1).when(failed & (F.col("stage") == 0), -1).otherwise(F.col("stage")),
         "error": F.when(ok, None).when(failed, F.col("r_message")).otherwise(F.col("error")),
         "ocr": F.when(ok, 0).otherwise(F.col("ocr")),
     }
-    return rows.withColumns(values).select(*catalog.columns)
+    return rows.withColumns({c: v for c, v in values.items() if c in catalog.columns}).select(*catalog.columns)
 
 
 def embedded(catalog: DataFrame, vectors: DataFrame, version: str) -> DataFrame:

@@ -2,44 +2,63 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkseek.operators import fuzzy, vectors
 from sparkseek.operators.fusion import fold_groups, reciprocal_rank_fusion
-from sparkseek.operators.lexical import ranking, split_terms, text_hits
+from sparkseek.operators.lexical import SHOWN, ranking, split_terms, text_hits
 from sparkseek.operators.lines import with_highlights
 from sparkseek.operators.ordering import shuffle_columns, sort_columns, with_rank
 from sparkseek.plans.filters import apply_filters
 from sparkseek.plans.query import SORTS, ActiveFilter, parse_query
 from sparkseek.plans.request import MIN_HYBRID, MIN_SIMILAR, MIN_VISUAL, NEAR_BELOW, SearchRequest
 
-HIT_COLUMNS = ("id", "path", "name", "folder", "mtime", "size", "width", "height", "indexed", "pinned", "colors", "group_id", "group_size", "thumb", "file")
-
-
 @dataclass
 class SearchResult:
-    """hits holds all folded hits in order; page one page of them with highlights."""
+    """hits holds what is shown of all folded hits, to be put in order; page and envelope answer for one page."""
 
     hits: DataFrame
     order: list[Column]
     request: SearchRequest
     terms: list[str]
+    catalog: DataFrame
+    spellings: list[str] = field(default_factory=list)
     filters: list[ActiveFilter] = field(default_factory=list)
     text_count: int = 0
     did_you_mean: str | None = None
     corrected: bool = False
     semantic: bool = False
+    began: float = field(default_factory=time.monotonic)
 
     def rows(self) -> tuple[list, bool]:
-        """The page's rows, and whether another page follows."""
+        """The page's rows with highlights, and whether another page follows.
+
+        Lines are read for the page alone: its ids go to the scan as a filter. Spellings are
+        highlighted too if a hit of the page is near.
+        """
         size = self.request.page
-        found = self.hits.orderBy(*self.order).offset(self.request.offset).limit(size + 1)
-        got = with_highlights(found, self.terms).collect()
-        return got[:size], len(got) > size
+        got = self.hits.orderBy(*self.order).offset(self.request.offset).limit(size + 1).collect()
+        more, got = len(got) > size, got[:size]
+        terms = self.terms + (self.spellings if any("near" in r["evidence"] for r in got) else [])
+        lines = self.catalog.filter(F.col("id").isin([r["id"] for r in got])).select("id", "lines")
+        marks = {r["id"]: r for r in with_highlights(lines, terms).drop("lines").collect()} if got else {}
+        blank = {"highlights": [], "snippet": None}
+        return [Row(**r.asDict(), **({k: marks[r["id"]][k] for k in blank} if r["id"] in marks else blank)) for r in got], more
+
+    def envelope(self) -> dict:
+        """The answer for one page as the API gives it."""
+        rows, more = self.rows()
+        took = int((time.monotonic() - self.began) * 1000)
+        return {
+            "hits": [r.asDict(recursive=True) for r in rows], "textCount": self.text_count, "hasMore": more, "nextOffset": self.request.offset + len(rows),
+            "query": self.request.q, "mode": self.request.lane, "tookMs": took, "filters": [vars(f) for f in self.filters],
+            "semantic": self.semantic, "didYouMean": self.did_you_mean, "corrected": self.corrected,
+        }
 
     def ranked(self) -> DataFrame:
         return with_rank(self.hits, self.order)
@@ -56,12 +75,17 @@ def _empty(catalog: DataFrame) -> DataFrame:
     return _listed(catalog.limit(0), "recent")
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*(c for c in SHOWN if c in df.columns))
+
+
 def _listed(df: DataFrame, kind: str, score: Column | float = 0.0) -> DataFrame:
-    return df.withColumns({"kind": F.lit(kind), "evidence": F.array(F.lit(kind)), "score": score if isinstance(score, Column) else F.lit(score)})
+    return _shown(df).withColumns({"kind": F.lit(kind), "evidence": F.array(F.lit(kind)), "score": score if isinstance(score, Column) else F.lit(score)})
 
 
 def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedder | None = None, feedback: DataFrame | None = None, now: datetime | None = None, dim: int = 512) -> SearchResult:
     """Answers a request over a catalog that has the columns of ``schema.conform``."""
+    began = time.monotonic()
     p = parse_query(request.q, now)
     sort = p.sort or SORTS.get(request.sort or "")
     eligible = apply_filters(catalog, p, request, feedback)
@@ -70,7 +94,7 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
 
     def result(hits: DataFrame, order: list[Column], **more) -> SearchResult:
         folded = fold_groups(hits, order, fold)
-        return SearchResult(display(folded), order, request, list(p.terms) + more.pop("spellings", []), p.filters, semantic=ready, **more)
+        return SearchResult(display(folded), order, request, list(p.terms), catalog, filters=p.filters, semantic=ready, began=began, **more)
 
     if request.wants_image:
         if request.lane == "text":
@@ -95,7 +119,7 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
         queries = [v for v in map(embedder.embed_text, vectors.prompts(p.terms)) if vectors.usable_query(v, dim)]
         if queries:
             found = vectors.nearest_of_prompts(vectors.searchable(eligible, embedder.version, dim), queries, MIN_VISUAL)
-            visual = found.join(eligible, "id").withColumns({"kind": F.lit("visual"), "evidence": F.array(F.lit("visual"))})
+            visual = found.join(_shown(eligible), "id").withColumns({"kind": F.lit("visual"), "evidence": F.array(F.lit("visual"))})
     explicit = sort if sort and sort != "relevance" else None
     if request.lane == "visual":
         return result(visual if visual is not None else _empty(catalog), sort_columns(explicit) if explicit else [F.desc("score"), F.asc("id")])
@@ -104,7 +128,7 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
         return result(text, [lanes.asc(), *sort_columns(explicit)] if explicit else ranking(), text_count=count, **more)
     first = with_rank(text.select("id", "kind", "evidence", "lane", "complete", "whole", "bucket", "mtime"), ranking()).select("id", "rank", "kind", "evidence")
     second = with_rank(visual.select("id", "kind", "evidence", "score"), [F.desc("score"), F.asc("id")]).select("id", "rank", "kind", "evidence") if visual is not None else first.limit(0)
-    fused = reciprocal_rank_fusion(first, second).join(eligible, "id")
+    fused = reciprocal_rank_fusion(first, second).join(_shown(eligible), "id")
     return result(fused, sort_columns(explicit) if explicit else [F.desc("score"), F.asc("id")], text_count=count, **more)
 
 
@@ -137,7 +161,7 @@ def _similar(catalog, eligible, request, terms, embedder, dim) -> DataFrame | No
     if request.similar_to is not None:
         eligible = eligible.filter(F.col("id") != request.similar_to)
     found = vectors.nearest(vectors.searchable(eligible, embedder.version, dim), query, least)
-    return found.join(eligible, "id").withColumns({"kind": F.lit("similar"), "evidence": F.array(F.lit("similar"))})
+    return found.join(_shown(eligible), "id").withColumns({"kind": F.lit("similar"), "evidence": F.array(F.lit("similar"))})
 
 
 def get_item(catalog: DataFrame, item: int) -> DataFrame:

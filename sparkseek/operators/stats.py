@@ -55,9 +55,13 @@ def failures(catalog: DataFrame) -> DataFrame:
     return catalog.filter(~F.col("hidden") & failed).select("id", "path", "mtime", message.alias("message")).orderBy(F.desc("mtime"), "id").drop("mtime")
 
 
+def waiting(catalog: DataFrame, most: int = BACKLOG) -> DataFrame:
+    """Rows that wait to be read, no more than one past the most that is asked about."""
+    return catalog.filter(~F.col("hidden") & (F.col("stage") == 0)).limit(most + 1)
+
+
 def backlog(catalog: DataFrame, most: int = BACKLOG) -> int:
-    """How many rows wait to be read, counted no further than one past the most that is asked about."""
-    return catalog.filter(~F.col("hidden") & (F.col("stage") == 0)).limit(most + 1).count()
+    return waiting(catalog, most).count()
 
 
 def exists(df: DataFrame) -> bool:
@@ -72,6 +76,22 @@ def state(paused: bool, scanning: bool, waiting: int) -> str:
     return "paused" if paused else "scanning" if scanning else "indexing" if waiting else "idle"
 
 
+def waiting_reason(paused: bool, forced: bool, on_battery: bool, idle: bool, waiting: int, small: int = BACKLOG) -> str | None:
+    """Why waiting rows are not worked on, the first that applies; None if they are or none waits."""
+    if not waiting or forced:
+        return None
+    if paused:
+        return "paused"
+    if on_battery:
+        return "on battery"
+    return None if idle or waiting <= small else "busy"
+
+
+def recent_warnings(warnings: list[str], new: str, most: int = 20) -> list[str]:
+    """The warnings with a new one; the oldest are dropped beyond a bound."""
+    return [*warnings, new][-most:]
+
+
 def status_line(total: int, read: int, paused: bool) -> str:
     return "Paused" if paused else f"Reading {read} of {total}" if read < total else f"{total} searchable"
 

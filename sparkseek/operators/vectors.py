@@ -32,6 +32,12 @@ def normalise(v: Sequence[float]) -> list[float]:
     return [x / norm for x in v]
 
 
+def normalise_column(v: Column) -> Column:
+    """The same for a column of vectors."""
+    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(LEAST))
+    return F.transform(v, lambda x: x.cast("double") / norm)
+
+
 def blend(image: Sequence[float], text: Sequence[float]) -> list[float]:
     """The direction halfway between an image's vector and a text's."""
     return normalise([a + b for a, b in zip(image, text)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.functions.text import fold
+from sparkseek.functions.text import fold, folded_length
 from sparkseek.operators.lines import LINES
 
 #: Column, type, and the value that a table without the column gets.
@@ -23,8 +23,8 @@ REFRESH_QUEUE = "id long"
 def conform(df: DataFrame) -> DataFrame:
     """df with all catalog columns in their types; missing and null ones get their defaults.
 
-    Keeps other columns. norm is the folded text where it is missing, and user_tags_json the tags
-    as the text index sees them.
+    Keeps other columns. norm is the folded text where it is missing, norm_length its length, which
+    is had without folding, and user_tags_json the tags as the text index sees them.
     """
     have = {c.lower() for c in df.columns}
     out = []
@@ -33,9 +33,10 @@ def conform(df: DataFrame) -> DataFrame:
         if default is not None:
             column = F.coalesce(column, F.array().cast(kind) if default == [] else F.lit(default).cast(kind))
         out.append(column.alias(name))
-    extra = [c for c in df.columns if c.lower() not in COLUMNS and c != "user_tags_json"]
+    extra = [c for c in df.columns if c.lower() not in COLUMNS and c not in ("user_tags_json", "norm_length")]
     df = df.select(*out, *extra)
-    return df.withColumns({"norm": F.coalesce("norm", fold(F.col("text"))), "user_tags_json": F.to_json("user_tags")})
+    length = F.coalesce(F.length("norm"), folded_length(F.col("text"))) if "norm" in have else folded_length(F.col("text"))
+    return df.withColumns({"norm": F.coalesce("norm", fold(F.col("text"))), "norm_length": length, "user_tags_json": F.to_json("user_tags")})
 
 
 def empty_catalog(spark: SparkSession) -> DataFrame:

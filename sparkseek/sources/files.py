@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ def skipped(path: Column, root: str, names: tuple[str, ...] = ()) -> Column:
     ending = lambda s: reduce(Column.__or__, [s.endswith(x) for x in SKIPPED_SUFFIXES])
     bad = lambda s: s.startswith(".") | s.startswith("$") | ending(s) | s.isin(*SKIPPED_NAMES, *(n.lower() for n in names))
     out = ~below(path, root) | F.exists(folders, bad)
+    out = out | path.rlike("^/Users/[^/]+/Library/")  # a home folder's own, on macOS
     if re.fullmatch("|[A-Za-z]:", root):
         out = out | F.coalesce(F.get(folders, F.lit(0)).isin(*SKIPPED_ON_DRIVES), F.lit(False))
     return out
@@ -72,6 +75,28 @@ def scan(spark: SparkSession, roots: list[str], excluded: list[str] = (), skip_n
     return located(files, roots, excluded, skip_names)
 
 
+def scan_roots(spark: SparkSession, roots: list[str], excluded: list[str] = (), skip_names: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """The image files below those roots that can be listed to the end, and these roots."""
+    found, complete = [], []
+    for root in sorted(set(roots)):
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+            files.limit(1).count()
+        except (PySparkException, Py4JError):  # a root that is gone or can't be read
+            continue
+        found.append(files)
+        complete.append(root)
+    every = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "path string, modificationTime timestamp, length long")
+    return located(every, roots, excluded, skip_names), complete
+
+
+def everywhere(spark: SparkSession, home: str, drives: list[str] = ()) -> list[str]:
+    """The roots of the scope "everywhere": the fixed drives that are there, or the home folder."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [d for d in sorted(set(drives)) if Path(d).getFileSystem(spark._jsc.hadoopConfiguration()).exists(Path(d))]
+    return there or [home]
+
+
 def images(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, width, height, channels, data) of images that the JVM can decode and that are not too large."""
     rows = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
@@ -166,26 +191,34 @@ def export_manifest(catalog: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def export(catalog: DataFrame, ids: list[int], folder: str) -> DataFrame:
-    """Copies the originals to a new folder and writes the manifest; gives (id, ok) of every file."""
-    from pathlib import Path
-    from shutil import copyfile
-
-    Path(folder).mkdir(parents=True)
-    manifest = export_manifest(catalog, ids).persist()
-
-    def copy(batches):
-        for rows in batches:
-            ok = []
-            for path, file in zip(rows["path"], rows["file"]):
-                try:
-                    copyfile(path, f"{folder}/{file}")
-                    ok.append(True)
-                except OSError:
-                    ok.append(False)
-            yield rows[["id"]].assign(ok=ok)
-
-    copied = manifest.select("id", "path", "file").mapInPandas(copy, "id long, ok boolean").persist()
-    body = manifest.join(copied.filter("ok"), "id").orderBy("id").agg(F.collect_list(F.struct("file", "metadata", "pinned")).alias("images"))
-    text = body.select(F.to_json(F.struct(F.lit(1).alias("version"), "images"))).first()[0]
-    Path(folder, "manifest.json").write_text(text, encoding="utf-8")
-    return copied
+    """Copies the originals to a new folder and writes the manifest; gives (id, ok) of every file.
+
+    All goes through Hadoop's file systems, so either side may be local or shared. There are 5000
+    files at most; what was copied before a failure stays and is in the manifest.
+    """
+    import json
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = catalog.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = place(folder).getFileSystem(conf)
+    if store.exists(place(folder)):
+        raise FileExistsError(folder)
+    store.mkdirs(place(folder))
+    rows = export_manifest(catalog, ids).collect()
+
+    def copy(row) -> bool:
+        try:
+            source, target = place(row["path"]), place(f"{folder}/{row['file']}")
+            return jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, store, target, False, conf)
+        except Py4JError:
+            return False
+
+    with ThreadPoolExecutor(8) as pool:
+        copied = list(pool.map(copy, rows))
+    images = [{"file": r["file"], "metadata": r["metadata"].asDict(), "pinned": r["pinned"]} for r, ok in zip(rows, copied) if ok]
+    out = store.create(place(f"{folder}/manifest.json"), False)
+    out.write(json.dumps({"version": 1, "images": images}, ensure_ascii=False).encode())
+    out.close()
+    return spark.createDataFrame([(r["id"], ok) for r, ok in zip(rows, copied)], "id long, ok boolean")

@@ -39,12 +39,12 @@ def documents_catalog(spark: SparkSession, sf_dir: str, vectors: bool = False) -
 
 
 def events_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog item for every event, with a hash of 64 signs of a vector."""
+    """A catalog item for every event, with a hash of 64 signs of one of the vectors, in turn."""
     e = table(spark, sf_dir, "events")
     v = table(spark, sf_dir, "embeddings")
     bit = F.transform("embedding", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0).cast("long")))
-    signs = v.select((F.col("vec_id") % 500).alias("h"), "vec_id", F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)).alias("dhash")).filter("vec_id < 500")
-    rows = e.withColumn("h", F.col("event_id") % 500).join(signs, "h", "left")
+    signs = v.select(F.col("vec_id").alias("h"), F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)).alias("dhash"))
+    rows = e.withColumn("h", F.pmod("event_id", F.lit(max(1, v.count())))).join(signs, "h", "left")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return conform(rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("folder"), ms.alias("mtime"), F.array("event_type").alias("tags"), "dhash", F.lit(1).alias("stage"), F.lit("").alias("text"), F.concat(F.lit("/e/"), F.col("event_id")).alias("path")))
 

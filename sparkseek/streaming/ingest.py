@@ -6,7 +6,6 @@ of a full listing with the catalog, which ``reconcile`` makes.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -17,54 +16,51 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkseek.schema import conform
-from sparkseek.sources.files import BINARY_FILE, apply_diff, catalog_diff, located, scan
+from sparkseek.sources.files import BINARY_FILE, apply_diff, catalog_diff, located, scan_roots
+from sparkseek.sources.pointers import Pointers
 
 DEBOUNCE_MS = 400
 
 
 class CatalogStore:
-    """Versions of a catalog under a folder; a pointer names the current one.
+    """Versions of a catalog under a folder; the highest numbered pointer names the current one.
 
-    A version is written whole before the pointer moves, so readers never see half of one, and a
-    batch that is run again finds its own number in the pointer and does nothing.
+    A version is written whole before its pointer gets its name, and a pointer is never replaced, so
+    readers find a whole version at any time. A batch that is run again finds its number under the
+    name of its stream in the pointer and does nothing; another stream, or a stream that begins anew
+    with a checkpoint folder of its own, has another name. Versions that the last few pointers don't
+    name are removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointer")
-        self._path, self._fs = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict:
-        if not self._fs.exists(self._path):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.folder}/pointer", wholetext=True).first()[0])
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.pointers = Pointers(spark, self.folder)
 
     def read(self) -> DataFrame:
-        pointer = self._pointer()
+        pointer = self.pointers.read()
         if not pointer:
             return conform(self.spark.createDataFrame([], "id long"))
         return self.spark.read.parquet(f"{self.folder}/{pointer['version']}")
 
     def queue(self) -> DataFrame:
-        pointer = self._pointer()
+        pointer = self.pointers.read()
         if not pointer:
             return self.spark.createDataFrame([], "id long")
         return self.spark.read.parquet(f"{self.folder}/{pointer['version']}-queue")
 
-    def done(self, batch: int) -> bool:
-        return self._pointer().get("batch", -1) >= batch
+    def done(self, batch: int, stream: str = "") -> bool:
+        return self.pointers.read().get("batches", {}).get(stream, -1) >= batch
 
-    def write(self, catalog: DataFrame, queue: DataFrame, batch: int = -1) -> None:
+    def write(self, catalog: DataFrame, queue: DataFrame, batch: int = -1, stream: str = "") -> None:
         version = uuid4().hex
         catalog.write.parquet(f"{self.folder}/{version}")
         queue.distinct().write.parquet(f"{self.folder}/{version}-queue")
-        jvm = self.spark._jvm
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer-{version}")
-        out = self._fs.create(draft, True)
-        out.write(json.dumps({"version": version, "batch": max(batch, self._pointer().get("batch", -1))}).encode())
-        out.close()
-        self._fs.delete(self._path, False)
-        self._fs.rename(draft, self._path)
+        batches = self.pointers.read().get("batches", {})
+        if batch >= 0:
+            batches[stream] = max(batch, batches.get(stream, -1))
+        for old in self.pointers.write({"version": version, "batches": batches}):
+            self.pointers.remove(f"{self.folder}/{old['version']}")
+            self.pointers.remove(f"{self.folder}/{old['version']}-queue")
 
 
 def file_stream(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
@@ -73,22 +69,27 @@ def file_stream(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFr
     return reader.load(root).select("path", "modificationTime", "length")
 
 
-def upsert(store: CatalogStore, files: DataFrame, roots: list[str], excluded: list[str] = (), batch: int = -1) -> None:
+def upsert(store: CatalogStore, files: DataFrame, roots: list[str], excluded: list[str] = (), batch: int = -1, stream: str = "") -> None:
     """Merges listed files into the catalog: new ones are added, changed ones are queued; nothing is removed."""
     found = located(files, roots, excluded).dropDuplicates(["path"])
     catalog = store.read()
     diff = catalog_diff(found, catalog, roots, complete=[], excluded=[])
     merged, again = apply_diff(catalog, diff)
-    store.write(merged, store.queue().unionByName(again), batch)
+    store.write(merged, store.queue().unionByName(again), batch, stream)
+
 
+def reconcile(store: CatalogStore, roots: list[str], excluded: list[str] = (), complete: list[str] | None = None) -> list[str]:
+    """Brings the catalog in line with a full listing; gives the roots that could be listed to the end.
 
-def reconcile(store: CatalogStore, roots: list[str], excluded: list[str] = (), complete: list[str] | None = None) -> None:
-    """Brings the catalog in line with a full listing; roots that were not listed to the end lose nothing."""
-    found = scan(store.spark, roots, excluded)
+    Roots that could not, or that the caller does not name as complete, lose nothing.
+    """
+    found, listed = scan_roots(store.spark, roots, excluded)
+    complete = listed if complete is None else [r for r in complete if r in listed]
     catalog = store.read()
-    merged, again = apply_diff(catalog, catalog_diff(found, catalog, roots, roots if complete is None else complete, excluded))
+    merged, again = apply_diff(catalog, catalog_diff(found, catalog, roots, complete, excluded))
     left = store.queue().unionByName(again).join(merged.select("id"), "id", "left_semi")
     store.write(merged, left)
+    return listed
 
 
 def start(store: CatalogStore, root: str, checkpoint: str, roots: list[str] | None = None, excluded: list[str] = (), once: bool = False) -> StreamingQuery:
@@ -96,8 +97,8 @@ def start(store: CatalogStore, root: str, checkpoint: str, roots: list[str] | No
     roots = roots or [root]
 
     def merge(files: DataFrame, batch: int) -> None:
-        if not store.done(batch):
-            upsert(store, files, roots, excluded, batch)
+        if not store.done(batch, checkpoint):
+            upsert(store, files, roots, excluded, batch, checkpoint)
 
     writer = file_stream(store.spark, root).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

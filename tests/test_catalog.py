@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
-from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, mutations, ordering, pixels, stats, vectors, work
+from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, mutations, ordering, pixels, reading, stats, text_index, vectors, work
 from sparkseek.operators.lines import LINES, boxes, merge_lines, reading_rows, with_highlights
 from sparkseek.operators.search import get_item, paths_of, search
 from sparkseek.plans.request import SearchRequest
@@ -77,6 +77,29 @@ def test_groups_fold_and_pages_follow(catalog):
     assert shuffled == sorted(shuffled, key=lambda i: ((i * 1103515245 + 12345) & 2147483647, i))
 
 
+def test_page_envelope(catalog):
+    said = F.transform(F.split("text", " "), lambda t, i: F.struct(t.alias("t"), *(i.cast("float").alias(c) for c in "xywh")))
+    found = search(catalog.withColumn("lines", said), SearchRequest(q="Invioce ext:png", mode="text", limit=1))
+    got = found.envelope()
+    assert (got["textCount"], got["hasMore"], got["nextOffset"], got["mode"], got["didYouMean"]) == (2, True, 1, "text", "invoice ext:png")
+    (hit,) = got["hits"]
+    assert hit["id"] == 1 and [b["t"] for b in hit["highlights"]] == ["Invoice"] and hit["snippet"] == "Invoice"
+    assert "text" not in hit and "lines" not in hit and got["filters"][0]["key"] == "ext" and got["tookMs"] >= 0
+
+
+def test_text_index(spark, catalog, tmp_path):
+    index = text_index.TextIndex(spark, str(tmp_path), buckets=4)
+    index.build(catalog)
+    same = lambda groups: {(r["id"], round(r["r"], 9)) for r in text_index.hits(index, now, now, groups, []).collect()} == {(r["id"], round(r["r"], 9)) for r in lexical.text_hits(now, now, groups, []).collect()}
+    now = catalog
+    assert same([["invoice"]]) and same([["invoice", "inv0ice"], ["due"]]) and {r["id"] for r in index.candidates("credila").collect()} == {3}
+    changed = catalog.filter("id = 3").withColumn("text", F.lit("no such word")).withColumns({"norm": F.lit("x"), "norm_length": F.lit(12)})
+    now = catalog.filter("id not in (2, 3)").unionByName(changed)
+    index.update(changed, catalog.filter("id = 2").select("id"))
+    assert same([["invoice"]]) and same([["word"]]) and index.candidates("credila").isEmpty() and index.rows().count() == 5
+    assert index.candidates("zzz").isEmpty() and text_index.hits(index, now, now, [], ["no"]).count() > 0
+
+
 def test_visual_lane_and_fusion(catalog):
     model = Words()
     found = search(catalog, SearchRequest(q="dog", mode="visual"), model, dim=4)
@@ -246,6 +269,34 @@ def test_mutations(spark, catalog):
     assert one(spark, mutations.clean_label_column, [" A", "a ", "", "B"], "array<string>") == ["A", "B"]
 
 
+def test_reading_storing_and_second_readings(spark):
+    def reader(path, content):
+        if content == b"bad":
+            raise ValueError("no image")
+        return {"lines": [{"t": t, "x": 0.0, "y": i / 10, "w": 1.0, "h": 0.1} for i, t in enumerate(content.decode().split("|"))], "dhash": 7, "tags": ["h:text", "c:red"]}
+
+    catalog = conform(spark.createDataFrame([(i, f"/a/{i}", "/a", 1000 * i) for i in range(1, 6)], "id long, path string, folder string, mtime long").withColumn("stage", F.when(F.col("id") == 5, 1).otherwise(0)))
+    files = spark.createDataFrame([(1, "/a/1", b"one|two|three|four"), (2, "/a/2", b"one|two|three|four"), (3, "/a/3", b"bad"), (5, "/a/5", b"bad")], "id long, path string, content binary")
+    read = reading.read_batch(files, reader)
+    rows = {r["id"]: r for r in reading.store(catalog, read).collect()}
+    assert rows[1]["text"] == "one\ntwo\nthree\nfour" and rows[1]["stage"] == rows[2]["stage"] == 1
+    assert (rows[3]["stage"], rows[3]["error"]) == (-1, "ValueError: no image") and rows[5]["stage"] == 1
+    assert rows[1]["group_id"] == rows[2]["group_id"] == 1
+    assert rows[4]["group_id"] is None and rows[4]["stage"] == 0
+    kept = reading.store(catalog, read)
+    again = reading.read_batch(spark.createDataFrame([(1, "/a/1", b"ONE|"), (2, "/a/2", b"bad")], "id long, path string, content binary"), lambda p, c: {"lines": [{"t": "ONE", "x": 0.0, "y": 0.0, "w": 1.0, "h": 0.1}], "tags": ["h:email", "c:blue"]} if c != b"bad" else 1 / 0)
+    sharp = {r["id"]: r for r in reading.sharpened(kept, again).collect()}
+    assert sharp[1]["text"] == "ONE\ntwo\nthree\nfour" and sharp[1]["ocr"] == 1 and sharp[1]["tags"] == ["c:red", "h:email"]
+    assert sharp[2]["text"] == rows[2]["text"] and sharp[2]["ocr"] == -1 and sharp[4]["ocr"] == 0
+
+
+def test_why_rows_wait():
+    assert stats.waiting_reason(True, False, False, False, 9) == "paused" and stats.waiting_reason(True, True, False, False, 9) is None
+    assert stats.waiting_reason(False, False, True, True, 9) == "on battery" and stats.waiting_reason(False, False, False, False, 41) == "busy"
+    assert stats.waiting_reason(False, False, False, False, 40) is None and stats.waiting_reason(True, False, True, False, 0) is None
+    assert stats.recent_warnings([str(i) for i in range(20)], "new") == [*map(str, range(1, 20)), "new"]
+
+
 def test_work_queues(spark, catalog):
     queue = spark.createDataFrame([(6,)], "id long")
     assert [r["id"] for r in work.to_read(catalog, queue, 2).collect()] == [6, 4]

@@ -5,8 +5,9 @@ import time
 from pyspark.sql import functions as F
 
 from sparkseek.sources import files
-from sparkseek.sources.files import below, catalog_diff, export, export_manifest, folder_suggestions, import_sidecars, insert_or_ignore, root_of, scan, skipped
+from sparkseek.sources.files import below, catalog_diff, export, everywhere, export_manifest, folder_suggestions, import_sidecars, insert_or_ignore, root_of, scan, scan_roots, skipped
 from sparkseek.schema import conform
+from sparkseek.sources.pointers import Pointers
 from sparkseek.streaming.ingest import CatalogStore, debounced, latest_events, reconcile, start
 
 
@@ -82,19 +83,42 @@ def test_stream_merges_new_files_once_and_reconcile_the_rest(spark, tmp_path):
     put(f"{root}/b.png")
     assert store.read().count() == 0
     start(store, root, str(tmp_path / "cp"), once=True).awaitTermination(60)
-    assert store.read().count() == 2 and store.done(0) and not store.done(1)
+    assert store.read().count() == 2 and store.done(0, str(tmp_path / "cp")) and not store.done(1, str(tmp_path / "cp")) and not store.done(0, "another")
     put(f"{root}/c.png")
     start(store, root, str(tmp_path / "cp"), once=True).awaitTermination(60)
     names = {r["name"]: r["id"] for r in store.read().collect()}
     assert set(names) == {"a.png", "b.png", "c.png"} and len(set(names.values())) == 3
     os.remove(f"{root}/a.png")
     put(f"{root}/b.png", b"longer")
-    reconcile(store, [root])
+    assert reconcile(store, [root, str(tmp_path / "gone")]) == [root]
     rows = {r["name"]: r for r in store.read().collect()}
     assert set(rows) == {"b.png", "c.png"} and rows["b.png"]["size"] == 6 and rows["b.png"]["id"] == names["b.png"]
     assert [r["id"] for r in store.queue().collect()] == [names["b.png"]]
 
 
+def test_pointers(spark, tmp_path):
+    pointers = Pointers(spark, str(tmp_path / "p"))
+    assert pointers.read() == {}
+    dropped = [pointers.write({"v": i}) for i in range(6)]
+    assert pointers.read() == {"v": 5} and len(pointers.numbers()) == 3
+    assert [x["v"] for d in dropped for x in d] == [0, 1, 2]
+
+
+def test_versions_that_nothing_names_are_removed(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "store"))
+    for i in range(5):
+        store.write(conform(spark.range(i + 1)), spark.range(1), i, "s")
+    assert store.read().count() == 5 and store.done(4, "s") and not store.done(5, "s")
+    assert len([p for p in os.listdir(tmp_path / "store") if len(p) == 32]) == 3
+
+
+def test_roots_that_cannot_be_listed(spark, tmp_path):
+    put(str(tmp_path / "r/a.png"))
+    found, complete = scan_roots(spark, [str(tmp_path / "r"), str(tmp_path / "none")])
+    assert complete == [str(tmp_path / "r")] and [r["name"] for r in found.collect()] == ["a.png"]
+    assert everywhere(spark, "/home/x") == ["/home/x"] and everywhere(spark, "/h", [str(tmp_path), "/nowhere"]) == [str(tmp_path)]
+
+
 def test_events_settle(spark, tmp_path):
     events = tmp_path / "events"
     events.mkdir()
