@@ -10,7 +10,8 @@ in 32-bit lanes so that sums of up to 2**31 turns cannot overflow, together with
 turns. Being a sum, it can be made in two steps: places and sums within segments of a
 conversation, then running totals over segments. So a conversation of any length is dealt over
 many tasks up to the rendering, which makes one row of it. Only hashes move until then, and
-prefix hashes are deduplicated before they are moved.
+prefix hashes are deduplicated before they are moved. Conversations whose turn numbers lie in one
+segment skip the second step.
 
 Turns are ordered by turn, then role and text; nulls come first. A turn's place is its rank in
 that order, so gaps in turn numbers don't matter.
@@ -31,36 +32,67 @@ from sparkseek.llm.common import cut, load
 
 #: Turns of one conversation whose numbers are within a segment of this width are summed in one task.
 SEGMENT = 4_096
+#: Conversations of several segments that are broadcast at most.
+BROADCAST_CONVERSATIONS = 100_000
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _LANES = ("a", "b", "c", "d")
 
 
+def _content(salt: str = "") -> Column:
+    """A hash of a turn's role and text, in which nulls differ from empty ones."""
+    return F.xxhash64(F.lit(salt), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+
+
+def _lanes_of(n: str = "n") -> dict[str, Column]:
+    mask = F.lit(0xFFFFFFFF)
+    one, two = F.xxhash64(n, "x", "y"), F.xxhash64("y", n, "x")
+    return {"a": one.bitwiseAND(mask), "b": F.shiftrightunsigned(one, 32), "c": two.bitwiseAND(mask), "d": F.shiftrightunsigned(two, 32)}
+
+
+def _prefix(sums: list[Column]) -> Column:
+    return F.concat_ws(":", "n", F.concat(*(F.lpad(F.hex(s), 16, "0") for s in sums)))
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, h, last): the hash of the first n turns, for every n; last marks the whole."""
-    rows = turns.select("conv_id", "turn", "role", "text", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / SEGMENT).alias("segment"))
-    rows = rows.withColumn("segment", F.when(F.col("turn").isNull(), F.lit(None)).otherwise(F.col("segment")))
-    body = F.xxhash64(F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    other = F.xxhash64(F.lit("second"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    """(conv_id, n, h, last): the hash of the first n turns, for every n; last marks the whole.
+
+    Conversations of one segment, as nearly all are, take one exchange and one sort. Those of several
+    are told first, by their turn numbers, and dealt by segments.
+    """
+    segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62)))  # null turns come first
     # Rows that tie in turn are ordered by their hashes: equal rows are interchangeable.
-    rows = rows.select("conv_id", "segment", "turn", body.alias("x"), other.alias("y"))
-    sizes = rows.groupBy("conv_id", "segment").count()
-    before = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_id", "segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    same = (F.col("conv_id") == F.col("_c")) & F.col("segment").eqNullSafe(F.col("_s"))
-    starts = starts.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), "start")
-    within = Window.partitionBy("conv_id", "segment").orderBy("turn", "x", "y")
-    rows = rows.withColumn("i", F.row_number().over(within)).join(starts, same).withColumn("n", (F.col("start") + F.col("i")).cast("long")).drop("_c", "_s", "start")
-    mask = F.lit(0xFFFFFFFF)
-    one, two = F.xxhash64("n", "x", "y"), F.xxhash64("y", "n", "x")
-    lanes = {"a": one.bitwiseAND(mask), "b": F.shiftrightunsigned(one, 32), "c": two.bitwiseAND(mask), "d": F.shiftrightunsigned(two, 32)}
-    rows = rows.select("conv_id", "segment", "n", *(c.alias(k) for k, c in lanes.items()))
-    sums = rows.groupBy("conv_id", "segment").agg(*(F.sum(k).alias(k) for k in _LANES), F.max("n").alias("end"))
+    rows = turns.select("conv_id", segment.alias("segment"), "turn", _content().alias("x"), _content("second").alias("y"))
+    span = rows.groupBy("conv_id").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    several = cut(span.filter(F.col("low") < F.col("high")).select("conv_id"))
+    count = several.count()
+    if not count:
+        return _in_one_segment(rows)
+    several = F.broadcast(several) if count <= BROADCAST_CONVERSATIONS else several
+    return _in_one_segment(rows.join(several, "conv_id", "left_anti")).unionByName(_in_segments(rows.join(several, "conv_id", "left_semi")))
+
+
+def _in_one_segment(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy("conv_id")
-    base = sums.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"base_{k}") for k in _LANES), F.max("end").over(whole).alias("length"))
-    upto = Window.partitionBy("conv_id", "segment").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({k: F.sum(k).over(upto) for k in _LANES}).join(base, same)
-    h = F.concat(*(F.lpad(F.hex(F.col(k) + F.col(f"base_{k}")), 16, "0") for k in _LANES))
-    return rows.select("conv_id", "n", F.concat_ws(":", "n", h).alias("h"), (F.col("n") == F.col("length")).alias("last"))
+    order = whole.orderBy("turn", "x", "y")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("n", F.row_number().over(order).cast("long"))
+    rows = rows.withColumns(_lanes_of()).withColumns({f"to_{k}": F.sum(k).over(upto) for k in _LANES} | {"length": F.count("*").over(whole)})
+    return rows.select("conv_id", "n", _prefix([F.col(f"to_{k}") for k in _LANES]).alias("h"), (F.col("n") == F.col("length")).alias("last"))
+
+
+def _in_segments(rows: DataFrame) -> DataFrame:
+    """The same in two steps: places and sums within segments, then running totals over them."""
+    key = ["conv_id", "segment"]
+    before = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*key).count().select(*key, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*key).orderBy("turn", "x", "y")
+    rows = rows.withColumn("i", F.row_number().over(within)).join(starts, key).withColumn("n", (F.col("start") + F.col("i")).cast("long"))
+    rows = rows.select(*key, "n", *(c.alias(k) for k, c in _lanes_of().items()))
+    sums = rows.groupBy(*key).agg(*(F.sum(k).alias(k) for k in _LANES), F.max("n").alias("end"))
+    base = sums.select(*key, *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"base_{k}") for k in _LANES), F.max("end").over(Window.partitionBy("conv_id")).alias("length"))
+    upto = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"to_{k}": F.sum(k).over(upto) for k in _LANES}).join(base, key)
+    return rows.select("conv_id", "n", _prefix([F.col(f"to_{k}") + F.col(f"base_{k}") for k in _LANES]).alias("h"), (F.col("n") == F.col("length")).alias("last"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -81,18 +113,16 @@ def render(role: Column, text: Column) -> Column:
 def format_conversations(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, n_turns, n_copies, chat): one rendered row per maximal conversation."""
     turns = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).filter(F.col("conv_id").isNotNull())
-    kept = maximal_conversations(turns)
-    rows = turns.join(kept.select("conv_id"), "conv_id", "left_semi")
-    body = F.xxhash64(F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    rows = rows.select("conv_id", F.struct("turn", body.alias("x"), render(F.col("role"), F.col("text")).alias("chat")).alias("t"))
-    chats = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t"), _by_place), lambda t: t["chat"]), "").alias("chat"))
-    return kept.join(chats, "conv_id").select("conv_id", "n_turns", "n_copies", "chat")
+    rows = turns.join(maximal_conversations(turns), "conv_id")
+    rows = rows.select("conv_id", "n_turns", "n_copies", F.struct("turn", _content().alias("x"), _content("second").alias("y"), render(F.col("role"), F.col("text")).alias("chat")).alias("t"))
+    chat = F.array_join(F.transform(F.array_sort(F.collect_list("t"), _by_place), lambda t: t["chat"]), "")
+    return rows.groupBy("conv_id").agg(F.any_value("n_turns").alias("n_turns"), F.any_value("n_copies").alias("n_copies"), chat.alias("chat"))
 
 
 def _by_place(a: Column, b: Column) -> Column:
     """Orders turns as their places are: null turn numbers first, ties by hash."""
     first = F.when(a["turn"].isNull() & b["turn"].isNotNull(), -1).when(a["turn"].isNotNull() & b["turn"].isNull(), 1)
-    return first.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0)
+    return first.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
