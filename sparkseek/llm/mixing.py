@@ -16,8 +16,13 @@ three, which lifts rare values and lowers dominant ones. A caller may give a tab
 (value, target) for a marginal instead; values that it lacks are not sampled, and its values
 that the data lack are left out before the rest are scaled to 1.
 
-A topic is a surface class of the text that ``surface_topic`` derives, unless the caller names a
-column. Tokens are runs of characters other than space.
+A topic is learnt from the words of all documents, unless the caller names a column. Words (runs of
+LEAST_LETTERS letters or more, in lower case) are counted by documents and by occurrences. A word that
+is about something comes in bursts: its occurrences stand in fewer documents than chance would spread
+them over (residual inverse document frequency). The TOPICS words with the largest number of
+occurrences times that measure, of those in at least LEAST_SHARE of the documents, name the topics; a
+document's topic is the first of these that stands in it, or ``other``, or ``empty`` if it has no text.
+Tokens are runs of characters other than space.
 
 Only the table of cells is raked: one row per combination that occurs, summed before anything
 moves, so a source with a third of all rows is one row per language and topic. Up to SMALL_CELLS of
@@ -43,7 +48,7 @@ from pyspark.sql.window import Window
 from sparkseek.llm.common import cut, load, unit
 
 #: For source, language and topic: 1 keeps the observed shares, 0 makes all values equal.
-TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+TEMPERATURE = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 TOLERANCE = 1e-6
 MAX_ROUNDS = 50
 #: The share of the named tokens that is sampled at least, and the share of the sample that full cells may lack beyond that.
@@ -54,6 +59,11 @@ SMALL_CELLS = 50_000
 ROUNDS_AT_ONCE = 4
 #: More rows than this are joined by a shuffle.
 BROADCAST_CELLS = 50_000
+#: Topics, and the letters and the share of documents that a word needs to name one.
+TOPICS = 12
+LEAST_LETTERS = 4
+LEAST_SHARE = 0.002
+BUCKETS = 1 << 20
 MARGINS = ("source", "lang", "topic")
 _OUT = ("topic", "n_tokens", "factor", "keep_probability", "draw", "sampled")
 _NULL = "\0null"
@@ -64,19 +74,53 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def surface_topic(text: Column) -> Column:
-    """A class of the text by its surface: table, shouting, marked, list or prose; empty without text."""
-    n = F.length(text)
-    without = lambda chars: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
-    share = lambda rest: (n - F.length(rest)) / n
-    return (
-        F.when(F.coalesce(n, F.lit(0)) == 0, "empty")
-        .when(share(without("|")) > 0.03, "table")
-        .when(share(F.regexp_replace(text, "[A-Z]+", "")) > 0.3, "shouting")
-        .when(share(without("#$%&*")) > 0.05, "marked")
-        .when(share(without("\n")) > 0.02, "list")
-        .otherwise("prose")
-    )
+def words_of(text: Column) -> Column:
+    """The words of a text that may name a topic, repeats included."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0))
+
+
+def learn_topics(docs: DataFrame, text: str = "text", topics: int = TOPICS, least_share: float = LEAST_SHARE) -> list[str]:
+    """The words that name topics, the strongest first, from all documents. Ties go to the word that sorts first.
+
+    Most words are rare, and a word in enough documents falls in a bucket with at least as many. So
+    buckets of words are counted first, and then the words of buckets with enough (fewer than words
+    a document over least_share), which is exact and moves little.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    total = docs.count()
+    least = max(2.0, total * least_share)
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))
+    counted = docs.select(F.explode(F.array_distinct(F.transform(words_of(body), bucket))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    full = cut(counted.filter(F.col("n") >= least).select("bucket"))  # at most BUCKETS rows
+    runs = F.transform(F.array_sort(words_of(body)), lambda w: F.struct(w.alias("word"), bucket(w).alias("bucket")))
+    each = docs.select(F.explode(_marked(runs)).alias("x")).select("x.*").join(F.broadcast(full), "bucket", "left_semi")
+    words = each.groupBy("word").agg(F.count_if("first").alias("documents"), F.count("*").alias("occurrences"))
+    return [r["word"] for r in strongest(words, total, topics, least).collect()]
+
+
+def _marked(words: Column) -> Column:
+    """Sorted words, each with whether it is the first of its kind."""
+    def each(words: Column) -> Column:
+        first = lambda x, i: F.when(i == 0, True).otherwise(F.get(words, i - 1)["word"] != x["word"])
+        return F.transform(words, lambda x, i: F.struct(x["word"].alias("word"), x["bucket"].alias("bucket"), first(x, i).alias("first")))
+
+    return F.get(F.transform(F.array(words), each), F.lit(0))
+
+
+def strongest(words: DataFrame, total: int, topics: int, least: float) -> DataFrame:
+    """(word) of words (word, documents, occurrences) that are the most about something, topics of them at most."""
+    n = F.lit(float(max(1, total)))
+    by_chance = n * (1 - F.exp(-F.col("occurrences") / n))
+    residual = F.log2(by_chance / F.col("documents"))
+    often = words.filter(F.col("documents") >= least)
+    scored = often.select("word", (F.col("occurrences") * residual).alias("strength")).filter(F.col("strength") > 0)
+    return scored.orderBy(F.desc("strength"), "word").limit(topics).select("word")
+
+
+def word_topic(text: Column, topics: list[str]) -> Column:
+    """The first of the topics that is a word of the text; ``other`` without one, ``empty`` without text."""
+    named = F.get(F.array_intersect(F.array(*map(F.lit, topics)).cast("array<string>"), words_of(text)), F.lit(0))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty").otherwise(F.coalesce(named, F.lit("other")))
 
 
 def _targets(cells: DataFrame, margin: str, given: DataFrame | None, temperature: float) -> DataFrame:
@@ -176,7 +220,7 @@ def drawn(docs: DataFrame, kept: Column, slim: bool, id_col: str, text: str, sou
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
     draw = unit(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL)), F.lit(seed))
     body = F.col(text).cast("string")
-    rows = docs.select(kept.alias("kept"), draw.alias("draw"), named(source).alias("_source"), named(lang).alias("_lang"), (named(topic) if topic else surface_topic(body)).alias("_topic"), token_count(body).alias("n_tokens"))
+    rows = docs.select(kept.alias("kept"), draw.alias("draw"), named(source).alias("_source"), named(lang).alias("_lang"), (named(topic) if topic else word_topic(body, learn_topics(docs, text))).alias("_topic"), token_count(body).alias("n_tokens"))
     rows = cut(rows) if slim else rows
     keys = [f"_{m}" for m in MARGINS]
     cells = cut(rows.groupBy(*keys).agg(F.sum("n_tokens").cast("double").alias("tokens")))
