@@ -8,7 +8,7 @@ from sparkseek.llm.decontam import OP5_SQL, op5_benchmark_decontamination
 from sparkseek.llm.langid import op9_language_id
 from sparkseek.llm.mixing import op4_mixing_to_target_weights
 from sparkseek.llm.pii import op2_personal_data
-from sparkseek.llm.secret_scan import op1_secret_scan
+from sparkseek.llm.secret_scan import OP1_SQL, op1_secret_scan
 from sparkseek.llm.sharding import op3_sharding
 from sparkseek.llm.simhash import op10_simhash_near_dedup
 from sparkseek.llm.toxicity import op7_toxicity
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": OP5_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_chat_formatting": OP6_SQL}

@@ -116,3 +116,41 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(listed(base), 256).alias("base_sha256"),
         listed(base | {"owned": F.col("owned")}).alias("spans"), classes.alias("classes"), count("owned").alias("n_owned"), "n_live", "n_shared", "n_copied",
     )
+
+
+def _found_sql(kind: str, order: int, pattern: str, group: int = 0) -> str:
+    """SQL for (r, kind, o, b, e, v) of all matches of a pattern in d(r, t), by running sums of the lengths of pieces."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, '{kind}' AS kind, {order} AS o, b, b + length(m) AS e, v FROM (
+    SELECT r, m, v, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (
+      SELECT r, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
+        SELECT r, regexp_extract_all(t, '{quoted}') AS ms, regexp_extract_all(t, '{quoted}', {group}) AS vs, string_split_regex(t, '{quoted}') AS gs FROM d) WHERE len(ms) > 0)
+    WINDOW w AS (PARTITION BY r ORDER BY i))"""
+
+
+_LIVE_SQL = r"""length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4 AND len(list_distinct(string_split(v, ''))) >= 10
+    AND len(list_filter(list_distinct(string_split(v, '')), lambda c: contains(v, repeat(c, 6)))) = 0 AND NOT regexp_matches(v, '(?i:example|sample|placeholder|changeme|xxxx|your)')"""
+
+#: The same with whole values in place of their hashes.
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+base AS (
+  {_found_sql("assign", 0, ASSIGN, 2)}
+  UNION ALL {_found_sql("access", 1, ACCESS)}
+  UNION ALL {_found_sql("hex", 2, HEX)}
+), kept AS (SELECT * FROM base WHERE kind <> 'assign' OR length(v) >= 6),
+generic AS (SELECT * FROM ({_found_sql("owned", 3, GENERIC)}) g WHERE {_LIVE_SQL} AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.r = g.r AND k.b < g.e AND g.b < k.e)),
+every AS (SELECT x.*, owner, repository FROM (SELECT * FROM kept UNION ALL SELECT * FROM generic) x JOIN d USING (r)),
+held AS (SELECT v, count(DISTINCT owner) AS owners FROM every GROUP BY v),
+judged AS (SELECT * FROM (SELECT e.*, CASE WHEN owners >= {WIDE} THEN 'copied' WHEN owners > 1 THEN 'shared' WHEN {_LIVE_SQL} THEN 'live' ELSE 'plain' END AS class FROM every e JOIN held USING (v)) WHERE kind <> 'owned' OR class = 'live'),
+rows AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'owned') AS n_owned,
+    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) FILTER (kind <> 'owned') AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) AS spans,
+    string_agg(kind || ':' || b || ':' || e || ':' || class, ',' ORDER BY b, o) AS classes,
+    count(*) FILTER (kind <> 'owned' AND class = 'live') AS n_live, count(*) FILTER (kind <> 'owned' AND class = 'shared') AS n_shared, count(*) FILTER (kind <> 'owned' AND class = 'copied') AS n_copied
+  FROM judged GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_shared", "n_copied"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(classes, '') AS classes
+FROM d LEFT JOIN rows USING (r)
+"""
