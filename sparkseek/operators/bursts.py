@@ -105,8 +105,10 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
 def group_bursts(catalog: DataFrame, order: str = "components") -> DataFrame:
     """(id, group_id) of rows in bursts.
 
-    order="ingest" follows the order in which files are read, one session of a folder (rows with
-    no gap above ten minutes) at a time; order="components" does not depend on any order.
+    order="components" does not depend on any order and is the mode for large catalogs. order="ingest"
+    is there for parity only: it follows the order in which files are read, which is sequential, one
+    session of a folder (rows with no gap above ten minutes) at a time in one task, and compares each
+    row with those of the ten minutes after it.
     """
     if order == "components":
         return burst_components(catalog)

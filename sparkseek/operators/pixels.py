@@ -80,6 +80,28 @@ def tiles(width: int, height: int, overlap: int = 120) -> list[tuple[int, int]]:
     return [(top, min(strip, height - top)) for top in range(0, max(1, height - overlap), strip - overlap)]
 
 
+def reading_scale(width: int, height: int, most: int = 4_000) -> float:
+    """By how much an image is made smaller before it is read."""
+    return min(1.0, most / max(width, height))
+
+
+def owned_lines(strips: list[tuple[int, int]], lines: list[list[dict]]) -> list[dict]:
+    """The lines of all strips in the whole image's pixels, from lines (t, x, y, w, h) in pixels of their strips.
+
+    Where strips overlap, a line is of the strip in whose half of the overlap its middle lies, so it
+    comes once. Lines of one character are left out.
+    """
+    out = []
+    for i, ((top, height), own) in enumerate(zip(strips, lines)):
+        first = 0 if i == 0 else (top + strips[i - 1][0] + strips[i - 1][1]) / 2
+        last = float("inf") if i + 1 == len(strips) else (strips[i + 1][0] + top + height) / 2
+        for line in own:
+            y = line["y"] + top
+            if first <= y + line["h"] / 2 < last and len(line["t"].strip()) > 1:
+                out.append(line | {"y": y})
+    return out
+
+
 def text_boxes(probability: np.ndarray, threshold: float = 0.3, least_mean: float = 0.6, unclip: float = 1.5, least_side: int = 3) -> list[tuple[float, float, float, float]]:
     """(x, y, w, h) around connected cells above the threshold, grown by area times unclip over perimeter."""
     on = probability > threshold

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkseek.operators import fuzzy, vectors
+from sparkseek.operators.caches import Caches
 from sparkseek.operators.fusion import fold_groups, reciprocal_rank_fusion
 from sparkseek.operators.lexical import SHOWN, ranking, split_terms, text_hits
 from sparkseek.operators.lines import with_highlights
@@ -83,8 +84,11 @@ def _listed(df: DataFrame, kind: str, score: Column | float = 0.0) -> DataFrame:
     return _shown(df).withColumns({"kind": F.lit(kind), "evidence": F.array(F.lit(kind)), "score": score if isinstance(score, Column) else F.lit(score)})
 
 
-def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedder | None = None, feedback: DataFrame | None = None, now: datetime | None = None, dim: int = 512) -> SearchResult:
-    """Answers a request over a catalog that has the columns of ``schema.conform``."""
+def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedder | None = None, feedback: DataFrame | None = None, now: datetime | None = None, dim: int = 512, caches: Caches | None = None, version: str = "") -> SearchResult:
+    """Answers a request over a catalog that has the columns of ``schema.conform``.
+
+    With caches, the vocabulary is kept for this version of the catalog.
+    """
     began = time.monotonic()
     p = parse_query(request.q, now)
     sort = p.sort or SORTS.get(request.sort or "")
@@ -112,7 +116,7 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
         text = text_hits(catalog, eligible, groups, short)
         exact = text.limit(NEAR_BELOW).count()
         if exact < NEAR_BELOW and any(len(g[0]) >= 4 for g in groups):
-            text, more = _with_near(catalog, eligible, request, groups, short, text, exact)
+            text, more = _with_near(catalog, eligible, request, groups, short, text, exact, caches, version)
         count = text.count()
     visual = None
     if request.lane != "text" and ready:
@@ -132,10 +136,12 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
     return result(fused, sort_columns(explicit) if explicit else [F.desc("score"), F.asc("id")], text_count=count, **more)
 
 
-def _with_near(catalog, eligible, request, groups, short, text, exact):
-    vocab = fuzzy.vocabulary(catalog).persist()
+def _with_near(catalog, eligible, request, groups, short, text, exact, caches, version):
+    make = lambda: fuzzy.vocabulary(catalog)
+    vocab = caches.get("vocabulary", version, make) if caches else make().persist()
     spelled, fixes = fuzzy.spellings(vocab, groups)
-    vocab.unpersist()
+    if not caches:
+        vocab.unpersist()
     if all(len(g) == 1 for g in spelled):
         return text, {}
     rest = eligible.join(text.select("id"), "id", "left_anti")
@@ -152,7 +158,7 @@ def _similar(catalog, eligible, request, terms, embedder, dim) -> DataFrame | No
         row = catalog.filter((F.col("id") == request.similar_to) & (F.col("embedding_version") == embedder.version)).select("embedding").first()
         query = row and row["embedding"]
     else:
-        query = embedder.embed_image(request.image)
+        query = embedder.embed_image(request.image_path if request.image_path is not None else request.image)
     if not vectors.usable_query(query, dim):
         return None
     least = MIN_SIMILAR

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def may_work(forced: bool, on_battery: bool, idle: bool, waiting: int, newest_ag
     return idle or waiting <= SMALL_BACKLOG or (newest_age_ms is not None and newest_age_ms < FRESH_MS)
 
 
+@dataclass(frozen=True)
+class Control:
+    """What a user asked of the backlog: to wait, or to be worked off now whatever the power and load."""
+
+    paused: bool = False
+    forced: bool = False
+
+    def pause(self) -> Control:
+        return Control(paused=True)
+
+    def resume(self) -> Control:
+        return Control()
+
+    def finish(self) -> Control:
+        """Works until nothing waits; ``after`` ends it."""
+        return Control(forced=True)
+
+    def after(self, waiting: int) -> Control:
+        return Control(paused=self.paused) if self.forced and not waiting else self
+
+    def may_work(self, on_battery: bool, idle: bool, waiting: int, newest_age_ms: int | None) -> bool:
+        return not self.paused and may_work(self.forced, on_battery, idle, waiting, newest_age_ms)
+
+
 def next_lane(last: str, ready: dict[str, bool]) -> str | None:
     """Reading, embedding and sharpening take turns; lanes without work are passed over."""
     lanes = ["read", "embed", "sharpen"]

@@ -23,7 +23,8 @@ class SearchRequest:
     limit: int | None = None
     offset: int = 0
     similar_to: int | None = None
-    image: Sequence[float] | bytes | str | None = None
+    image: Sequence[float] | bytes | None = None
+    image_path: str | None = None
     expand_group: int | None = None
     shuffle: bool = False
 
@@ -36,9 +37,10 @@ class SearchRequest:
         """The mode, with every unknown one taken as all."""
         return self.mode if self.mode in ("text", "visual") else "all"
 
+    #: An id comes before a path, and a path before an image's own bytes.
     @property
     def wants_image(self) -> bool:
-        return self.similar_to is not None or self.image is not None
+        return self.similar_to is not None or self.image_path is not None or self.image is not None
 
     @property
     def feedback_key(self) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions import text as T
 from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, mutations, ordering, pixels, reading, stats, text_index, vectors, work
+from sparkseek.operators.caches import Caches
 from sparkseek.operators.lines import LINES, boxes, merge_lines, reading_rows, with_highlights
 from sparkseek.operators.search import get_item, paths_of, search
 from sparkseek.plans.request import SearchRequest
@@ -290,6 +291,43 @@ def test_reading_storing_and_second_readings(spark):
     assert sharp[2]["text"] == rows[2]["text"] and sharp[2]["ocr"] == -1 and sharp[4]["ocr"] == 0
 
 
+def test_caches_follow_versions(spark):
+    now, made = [0.0], []
+    caches = Caches(idle_s=10, clock=lambda: now[0])
+    get = lambda v: caches.get("vocabulary", v, lambda: made.append(v) or spark.range(3))
+    assert get("a") is get("a") and get("b") is not None and made == ["a", "b"]
+    now[0] = 11.0
+    get("b")
+    caches.forget("vocabulary")
+    get("b")
+    assert made == ["a", "b", "b", "b"]
+
+
+def test_backlog_control():
+    c = work.Control()
+    assert c.may_work(False, True, 99, None) and not c.may_work(True, True, 99, None) and c.finish().may_work(True, False, 99, None)
+    assert not c.pause().may_work(False, True, 1, None) and c.pause().resume() == c and c.finish().after(0) == c and c.finish().after(3).forced
+
+
+def test_lines_of_strips_come_once():
+    strips = pixels.tiles(1000, 3000)
+    assert strips[0] == (0, 1400) and strips[1][0] == 1280
+    line = lambda t, y: {"t": t, "x": 0, "y": y, "w": 10, "h": 20}
+    got = pixels.owned_lines(strips[:2], [[line("first", 10), line("both", 1300), line("x", 50)], [line("both", 20), line("later", 100)]])
+    assert [(x["t"], x["y"]) for x in got] == [("first", 10), ("both", 1300), ("later", 1380)]
+    assert pixels.reading_scale(8000, 100) == 0.5 and pixels.reading_scale(10, 10) == 1.0
+
+
+def test_an_image_by_path_comes_before_bytes(catalog):
+    class Seen(Words):
+        def embed_image(self, image):
+            self.asked.append(image)
+            return [1.0, 0, 0, 0]
+
+    model = Seen()
+    assert ids(search(catalog, SearchRequest(image=b"x", image_path="/p"), model, dim=4))[0] == 1 and model.asked == ["/p"]
+
+
 def test_why_rows_wait():
     assert stats.waiting_reason(True, False, False, False, 9) == "paused" and stats.waiting_reason(True, True, False, False, 9) is None
     assert stats.waiting_reason(False, False, True, True, 9) == "on battery" and stats.waiting_reason(False, False, False, False, 41) == "busy"
