@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from sparkseek.functions.text import ACCENTED, LOOKALIKE_FROM, LOOKALIKE_PAIRS, LOOKALIKE_TO
+from sparkseek.functions.text import ACCENTED, LOOKALIKE_FROM, LOOKALIKE_PAIRS, LOOKALIKE_TO, color_name
 
 
 def _fold_sql() -> str:
@@ -30,6 +30,12 @@ EXPRESSIONS = {
 }
 
 
+def _sql_of(spark: SparkSession, column: Column, name: str) -> str:
+    """The SQL of a column over one string column of this name; for expressions without lambdas."""
+    one = spark.createDataFrame([], f"{name} string").select(column.alias("value"))
+    return one._jdf.queryExecution().analyzed().expressions().head().child().sql()
+
+
 class Words:
     """Table function: a row for each word of three letters or digits or more."""
 
@@ -44,6 +50,7 @@ def register(spark: SparkSession) -> list[str]:
 
     for head, body in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION color_name(hex STRING) RETURNS STRING RETURN {_sql_of(spark, color_name(F.col('hex')), 'hex')}")
     spark.udf.register("osa_distance", F.pandas_udf(_osa_pairs, IntegerType()))
     spark.udtf.register("words", F.udtf(Words, returnType="word: string"))
-    return [head.partition("(")[0] for head in EXPRESSIONS] + ["osa_distance", "words"]
+    return [head.partition("(")[0] for head in EXPRESSIONS] + ["color_name", "osa_distance", "words"]

@@ -299,6 +299,13 @@ def registered_functions(spark, d):
     return spark.sql("SELECT doc_id AS id, CAST(size(word_list(text)) AS BIGINT) AS words, has_word(lower(text), 'the') AS has FROM registered_documents WHERE text IS NOT NULL")
 
 
+@query("registered_color_name", _HSL)
+def registered_color_name(spark, d):
+    register(spark)
+    _part_colors(spark, d).createOrReplaceTempView("registered_colors")
+    return spark.sql("SELECT id, color_name(hex) AS name FROM registered_colors")
+
+
 # Vectors
 
 

@@ -24,7 +24,7 @@ def test_names_terms_and_addresses():
 
 
 def test_registered_functions(spark):
-    assert set(register(spark)) == {"fold", "ascii_lower", "hash_distance", "word_list", "osa_distance", "words"}
+    assert set(register(spark)) == {"fold", "ascii_lower", "hash_distance", "word_list", "has_word", "quantise", "color_name", "osa_distance", "words"}
     row = spark.sql("SELECT fold('Inv0ice') AS f, ascii_lower('AÉ') AS a, hash_distance('ff', '0') AS h, word_list('An écran, x2y') AS w, osa_distance('teh', 'the') AS d").first()
     assert tuple(row) == ("lnvolce", "aÉ", 8, ["écran", "x2y"], 1)
     assert [r["word"] for r in spark.sql("SELECT * FROM words('An Écran, x2y_abc')").collect()] == ["écran", "x2y", "abc"]
