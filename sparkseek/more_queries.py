@@ -253,6 +253,55 @@ def diagnostics(spark, d):
     return stats.diagnostics(documents_catalog(spark, d), "v1")
 
 
+@query(
+    "merge_lines",
+    "WITH b AS (SELECT p_partkey AS id, (p_partkey % 7) / 8.0 AS x, (p_partkey % 16) / 4.0 AS y FROM part), c AS (SELECT *, (1 - x) * least(1, greatest(0, 3 - y)) AS covered FROM b)"
+    " SELECT id, CASE WHEN covered >= 0.3 THEN 'p0 p1 p2' WHEN y < 1 THEN 'p0 e p1 p2' WHEN y < 2 THEN 'p0 p1 e p2' ELSE 'p0 p1 p2 e' END AS lines FROM c",
+)
+def merge_lines(spark, d):
+    """Three lines below each other, and another that they cover more or less."""
+    k = F.col("p_partkey")
+    box = lambda t, x, y: F.struct(F.lit(t).alias("t"), x.cast("float").alias("x"), y.cast("float").alias("y"), F.lit(1.0).cast("float").alias("w"), F.lit(1.0).cast("float").alias("h"))
+    first = F.array(*(box(f"p{i}", F.lit(0.0), F.lit(float(i))) for i in range(3)))
+    merged = lines.merge_lines(first, F.array(box("e", k % 7 / 8, k % 16 / 4)))
+    return table(spark, d, "part").select(k.alias("id"), F.array_join(F.transform(merged, lambda x: x["t"]), " ").alias("lines"))
+
+
+# Actions in the corpus: letters other than ASCII stand as one, as the two engines' classes differ there
+
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
+_ONCE = "array_to_string(list_filter(l, lambda v, i: list_position(list_transform(l, lambda u: lower(u)), lower(v)) = i)[1:16], ' ')"
+
+
+def _actions(spark, d, kind: str) -> DataFrame:
+    found = T.detect_actions(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), (kind,))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.transform(found, lambda a: a["value"]), " ").alias("found"))
+
+
+def _actions_sql(found: str) -> str:
+    return f"WITH t AS (SELECT doc_id, coalesce({_ASCII}, '') AS t FROM documents), f AS (SELECT doc_id, {found} AS l FROM t) SELECT doc_id AS id, {_ONCE} AS found FROM f"
+
+
+_EMAILS_SQL = f"regexp_extract_all(t, '{T.EMAIL_PATTERN}')"
+_PHONES_SQL = f"list_filter(list_transform(regexp_extract_all(t, '{T.PHONE_PATTERN}'), lambda p: trim(p)), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 10 AND 13 AND NOT regexp_matches(p, '{T.DATE_PATTERN}'))"
+_URLS_SQL = "list_filter(list_transform(regexp_extract_all(t, '(?i){}'), lambda u: regexp_replace(u, '[),.;:!?\\]]+$', '')), lambda u: NOT list_bool_or(list_transform({}, lambda m: ends_with(lower(m), lower(u)))) IS TRUE)".format(T.URL_PATTERN.replace("'", "''"), _EMAILS_SQL)
+
+
+@query("document_emails", _actions_sql(_EMAILS_SQL))
+def document_emails(spark, d):
+    return _actions(spark, d, "email")
+
+
+@query("document_phones", _actions_sql(_PHONES_SQL))
+def document_phones(spark, d):
+    return _actions(spark, d, "phone")
+
+
+@query("document_urls", _actions_sql(_URLS_SQL))
+def document_urls(spark, d):
+    return _actions(spark, d, "url")
+
+
 # Spelling
 
 
