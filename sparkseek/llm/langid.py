@@ -81,14 +81,16 @@ def symbols(text: str | None) -> np.ndarray:
     return np.concatenate([got[int(got[0] == _SPACE) :], np.full(int(got[-1] != _SPACE), _SPACE, dtype=np.uint16)])
 
 
-def packed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+_PAD = np.full(ORDER - 1, _SPACE, dtype=np.uint16)
+
+
+def packed(parts: list[np.ndarray], heads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram that ends at each character of each part, packed in 64 bits; the length of each part.
 
-    Before a part stand ORDER - 1 spaces.
+    Before a part stands its head of ORDER - 1 characters, which are spaces if heads are not given.
     """
     lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    pad = np.full(ORDER - 1, _SPACE, dtype=np.uint16)
-    row = np.concatenate([x for p in parts for x in (pad, p)]).astype(np.uint64)
+    row = np.concatenate([x for pair in zip(heads or [_PAD] * len(parts), parts) for x in pair]).astype(np.uint64)
     grams = row.copy()
     for back in range(1, ORDER):
         grams[back:] |= row[:-back] << np.uint64(16 * back)
@@ -99,20 +101,21 @@ def packed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return grams[real], lengths
 
 
-def _steps(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Texts with letters, as (places, symbols), about STEP characters at a time."""
-    at, parts, size = [], [], 0
+def _steps(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
+    """Texts with letters, as (places, symbols, heads), about STEP characters at a time; a longer text comes in pieces."""
+    at, parts, heads, size = [], [], [], 0
     for i, text in enumerate(texts):
         s = symbols(text)
-        if len(s):
+        for begin in range(0, len(s), STEP):
             at.append(i)
-            parts.append(s)
-            size += len(s)
+            parts.append(s[begin : begin + STEP])
+            heads.append(s[begin - ORDER + 1 : begin] if begin else _PAD)
+            size += len(parts[-1])
             if size >= STEP:
-                yield at, parts
-                at, parts, size = [], [], 0
+                yield at, parts, heads
+                at, parts, heads, size = [], [], [], 0
     if at:
-        yield at, parts
+        yield at, parts, heads
 
 
 def _merge(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,9 +135,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1)
         for lang in sorted(set(langs)):
             own = [texts[i].as_py() for i, x in enumerate(langs) if x == lang]
-            for _, parts in _steps(own):
+            for _, parts, heads in _steps(own):
                 pieces = held.setdefault(lang, [])
-                keys, counts = np.unique(packed(parts)[0], return_counts=True)
+                keys, counts = np.unique(packed(parts, heads)[0], return_counts=True)
                 pieces.append((keys, counts.astype(np.int64)))
                 if len(pieces) >= 16:
                     held[lang] = _merge(pieces)
@@ -232,16 +235,16 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy of each text in each language, letters and spaces scored)."""
-        out = np.full((len(texts), len(self.models)), np.nan)
+        sums = np.zeros((len(texts), len(self.models)))
         lengths = np.zeros(len(texts), dtype=np.int64)
-        for at, parts in _steps(texts):
-            grams, n = packed(parts)
+        for at, parts, heads in _steps(texts):
+            grams, n = packed(parts, heads)
             distinct, place = np.unique(grams, return_inverse=True)
             begins = np.cumsum(n) - n
             for i, model in enumerate(self.models):
-                out[at, i] = -np.add.reduceat(model.log_p(distinct)[place], begins, dtype=np.float64) / n
-            lengths[at] = n
-        return out, lengths
+                np.add.at(sums[:, i], at, np.add.reduceat(model.log_p(distinct)[place], begins, dtype=np.float64))
+            np.add.at(lengths, at, n)
+        return np.where(lengths[:, None] > 0, -sums / np.maximum(lengths, 1)[:, None], np.nan), lengths
 
     def groups(self, most: int) -> list[Model]:
         """Parts of the model in turn, whose languages take up to most bytes together (or are one language)."""

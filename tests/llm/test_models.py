@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def test_kneser_ney_against_its_definition():
     assert lengths.tolist() == [len(langid.symbols(t)) for t in asked]
 
 
+def test_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    model, texts = trained({"aa": [made_up("aa", 30, rng)], "bb": [made_up("bb", 30, rng)]}), [made_up("aa", 80, rng), "x", None, made_up("bb", 9, rng)]
+    whole = model.entropies(texts)
+    counts = lambda: {g: n for batch in langid._count(iter([pa.RecordBatch.from_arrays([pa.array(["a", "a", "b"]), pa.array(texts[:2] + texts[3:])], names=["lang", "text"])])) for g, n in zip(zip(batch[0].to_pylist(), batch[1].to_pylist()), batch[2].to_pylist())}
+    grams = counts()
+    monkeypatch.setattr(langid, "STEP", 7)
+    parts = model.entropies(texts)
+    assert np.allclose(whole[0], parts[0], equal_nan=True, rtol=1e-9) and whole[1].tolist() == parts[1].tolist() and counts() == grams
+
+
 def test_languages_in_groups_give_the_same(spark):
     rng = random.Random(8)
     rows = [(i, made_up("aa" if i % 2 else "bb", rng.randint(3, 30), rng), ["bb", "aa", "cc"][i % 2 if i % 7 else 2], "s", "x") for i in range(120)] + [(900, None, "aa", "s", "x"), (901, "12", None, "s", "x")]
