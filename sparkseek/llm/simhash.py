@@ -59,8 +59,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         joined = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     n = max(1, len(words) - shingle + 1)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), dtype="<u8", count=n)
-    planes = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _PLANE).ravel(), minlength=2048).reshape(8, 256)
-    set_in = (planes @ _BITS).ravel()
+    planes = np.zeros(2048, dtype=np.int64)
+    for i in range(0, n, CELLS // 8):
+        planes += np.bincount((hashes[i : i + CELLS // 8, None].view(np.uint8) + _PLANE).ravel(), minlength=2048)
+    set_in = (planes.reshape(8, 256) @ _BITS).ravel()
     return int(np.packbits(2 * set_in > n, bitorder="little").view("<u8")[0])
 
 
