@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.llm.common import free_prefix, load, unit
+from sparkseek.llm.common import cut, free_prefix, load, unit
 
 SHARDS = 16
 ROWS_PER_BLOCK = 4_096
+#: How many times as large as meant a block may be.
+UNEVEN = 4
 
 
 @dataclass(frozen=True)
@@ -83,13 +85,18 @@ def with_slots(df: DataFrame, shard: str, order: list[str], shards: int, rows_pe
 
     A shard is cut into blocks by a hash of the order columns, the rows of a block are numbered
     in one task, and a running sum of block counts gives where each block begins. So no task sees
-    a whole shard. Rows that agree in every order column share a block.
+    a whole shard. A block many times as large as meant holds a great many rows that agree in every
+    order column; then rows are dealt to blocks at random instead, once and for all, as they are kept.
     """
     blocks = max(1, math.ceil(df.count() / shards / rows_per_block))
     p = free_prefix(df, "_slot_")
     columns = [c for c in df.columns if c != "slot"]
+    count = lambda rows: cut(rows.groupBy(F.col(shard).alias(f"{p}shard"), F.col(f"{p}block").alias(f"{p}b")).agg(F.count("*").alias(f"{p}count")))
     df = df.select(*columns, F.pmod(F.xxhash64(*order), F.lit(blocks)).alias(f"{p}block"))
-    sizes = df.groupBy(F.col(shard).alias(f"{p}shard"), F.col(f"{p}block").alias(f"{p}b")).agg(F.count("*").alias(f"{p}count"))
+    sizes = count(df)
+    if blocks > 1 and sizes.agg(F.max(f"{p}count")).first()[0] > UNEVEN * rows_per_block:
+        df = cut(df.withColumn(f"{p}block", F.floor(F.rand() * blocks)))
+        sizes = count(df)
     before = Window.partitionBy(f"{p}shard").orderBy(f"{p}b").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select(f"{p}shard", f"{p}b", F.coalesce(F.sum(f"{p}count").over(before), F.lit(0)).alias(f"{p}begin"))
     within = Window.partitionBy(shard, f"{p}block").orderBy(*order)

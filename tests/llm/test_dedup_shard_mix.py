@@ -126,6 +126,12 @@ def test_shards(spark):
     assert sharding.shard_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_slots_of_a_great_many_equal_rows(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("shard")).unionByName(spark.range(600).select(F.col("id").cast("int").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 2).cast("int").alias("shard")))
+    got = sharding.with_slots(rows, "shard", ["doc_id", "text"], 2, rows_per_block=50).toPandas()
+    assert len(got) == 3600 and all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard"))
+
+
 def test_shards_against_the_draws_by_hand(spark):
     def draw(key, path, weight):
         h = xxhash.xxh64_intdigest(path, xxhash.xxh64_intdigest(key, 42))
@@ -222,6 +228,18 @@ def test_mixing_edges(spark):
     assert mixing.sample(clash).collect() == clash.collect() and mixing.mix(clash).count() == 3
 
 
+def test_topics_learnt_from_words(spark):
+    """Words that stand often in few documents name topics; words that stand everywhere don't."""
+    rng = np.random.default_rng(6)
+    common = ["about", "there", "which", "other"]
+    themes = [["galaxy", "orbit"], ["butter", "oven"], ["tort", "plaintiff"]]
+    rows = [(i, " ".join(rng.permutation(list(rng.choice(common, 20)) + list(rng.choice(themes[i % 3], 6)) + [f"unique{i}"])), "en", "s", i) for i in range(300)] + [(900, None, "en", "s", 0), (901, "Which about", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert set(mixing.learn_topics(docs, topics=6)) == {w for t in themes for w in t if len(w) > 3}
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix(docs, topic=mixing.WORDS).collect()}
+    assert all(got[i] in themes[i % 3] for i in range(300)) and got[900] == "empty" and got[901] == "other"
+
+
 def test_token_count(spark):
     texts = [None, "", "  ", "a", " a  b\nc\t"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.token_count(F.col("text")).alias("n")).collect()
