@@ -430,7 +430,7 @@ def best_neighbours(spark, d):
     return bursts.best_neighbours(_event_bursts(spark, d)).select("id", "neighbour", F.round("score", 6).alias("score"))
 
 
-#: Documents as lines: the words of each in fives, with one of its lines replaced now and then; twins stand a minute apart.
+#: Documents of even ids twice, a minute apart; every third of the second ones breaks its lines more often.
 _DOC_BURST = f"""{CAT}, w AS (SELECT id // 2 * 2 + k AS id, folder, (id // 2 * 600 + k * 60) * 1000 AS mtime, CASE WHEN k = 0 OR id % 3 > 0 THEN text ELSE replace(text, ' the', chr(10) || 'the') END AS text FROM cat, (SELECT unnest([0, 1]) AS k) WHERE id % 2 = 0),
 x AS (SELECT id, folder, mtime, list_distinct(string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS l, text FROM w),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.l, b.l)) / greatest(len(a.l), len(b.l))::DOUBLE AS score FROM x a JOIN x b

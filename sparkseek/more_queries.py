@@ -156,7 +156,7 @@ def export_manifest(spark, d):
     return rows.select("id", "file", F.col("metadata.collections")[0].alias("collection"), "pinned")
 
 
-@query("apply_diff", "SELECT '/a/' || o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey END > 0 AS there, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 10 END AS mtime FROM orders WHERE o_orderkey % 5 > 0")
+@query("apply_diff", "SELECT '/a/' || o_orderkey AS path, o_orderkey % 3 > 0 AS kept, o_orderkey % 3 > 0 AND o_orderkey % 2 = 0 AS again, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 10 END AS mtime FROM orders WHERE o_orderkey % 5 > 0")
 def apply_diff(spark, d):
     """Files of even keys have changed, those of keys that 5 divides are gone, and a third is new."""
     k = F.col("o_orderkey")
@@ -165,8 +165,9 @@ def apply_diff(spark, d):
 
     catalog = conform(rows.filter("id % 3 > 0"))
     found = rows.filter("id % 5 > 0").withColumn("mtime", F.when(F.col("id") % 2 == 0, 20).otherwise(10).cast("long")).drop("id")
-    merged, _ = files.apply_diff(catalog, files.catalog_diff(found, catalog, ["/a"], ["/a"]))
-    return merged.select("path", F.col("id").isNotNull().alias("there"), "mtime")
+    merged, again = files.apply_diff(catalog, files.catalog_diff(found, catalog, ["/a"], ["/a"]))
+    rows = merged.join(again.withColumn("again", F.lit(True)), "id", "left")
+    return rows.select("path", (F.col("path") == F.concat(F.lit("/a/"), "id")).alias("kept"), F.coalesce("again", F.lit(False)).alias("again"), "mtime")
 
 
 @query("verified_files", "SELECT '/m/' || p_partkey AS path, p_partkey % 4 > 0 AS ok FROM part")
@@ -208,7 +209,7 @@ def text_sorted(spark, d):
     return search(documents_catalog(spark, d), SearchRequest(q="tion sort:largest", mode="text"), now=NOW).ranked().select("id", "rank")
 
 
-@query("text_short_term", f"{CAT} SELECT id, row_number() OVER (ORDER BY {_WHOLE_IDIOT.replace('idiot', 'of')} DESC, mtime DESC, id) AS rank FROM cat WHERE NOT hidden AND {_match_sql(['of'])}".replace("lower(text), 'of'", "lower(text), 'of'"))
+@query("text_short_term", f"{CAT} SELECT id, row_number() OVER (ORDER BY {_WHOLE_IDIOT.replace('idiot', 'of')} DESC, mtime DESC, id) AS rank FROM cat WHERE NOT hidden AND {_match_sql(['of'])}")
 def text_short_term(spark, d):
     return search(documents_catalog(spark, d), SearchRequest(q="of", mode="text"), now=NOW).ranked().select("id", "rank")
 
