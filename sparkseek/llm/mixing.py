@@ -16,7 +16,9 @@ three, which lifts rare values and lowers dominant ones. A caller may give a tab
 (value, target) for a marginal instead; values that it lacks are not sampled, and its values
 that the data lack are left out before the rest are scaled to 1.
 
-A topic is learnt from the words of all documents, unless the caller names a column. Words (runs of
+A topic is a surface class of the text that ``surface_topic`` derives, unless the caller names a
+column or asks for WORDS, which are learnt from all documents (and cost several times as much as all
+else). Words (runs of
 LEAST_LETTERS letters or more, in lower case) are counted by documents and by occurrences. A word that
 is about something comes in bursts: its occurrences stand in fewer documents than chance would spread
 them over (residual inverse document frequency). The TOPICS words with the largest number of
@@ -64,6 +66,10 @@ TOPICS = 12
 LEAST_LETTERS = 4
 LEAST_SHARE = 0.002
 BUCKETS = 1 << 20
+#: Bits by which a word must stand in fewer documents than chance would spread it over.
+LEAST_RESIDUAL = 0.25
+#: The topic that stands for words learnt from all documents, as no column is called so.
+WORDS = "\0words"
 MARGINS = ("source", "lang", "topic")
 _OUT = ("topic", "n_tokens", "factor", "keep_probability", "draw", "sampled")
 _NULL = "\0null"
@@ -74,6 +80,21 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def surface_topic(text: Column) -> Column:
+    """A class of the text by its surface: table, shouting, marked, list or prose; empty without text."""
+    n = F.length(text)
+    without = lambda chars: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
+    share = lambda rest: (n - F.length(rest)) / n
+    return (
+        F.when(F.coalesce(n, F.lit(0)) == 0, "empty")
+        .when(share(without("|")) > 0.03, "table")
+        .when(share(F.regexp_replace(text, "[A-Z]+", "")) > 0.3, "shouting")
+        .when(share(without("#$%&*")) > 0.05, "marked")
+        .when(share(without("\n")) > 0.02, "list")
+        .otherwise("prose")
+    )
+
+
 def words_of(text: Column) -> Column:
     """The words of a text that may name a topic, repeats included."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0))
@@ -113,7 +134,7 @@ def strongest(words: DataFrame, total: int, topics: int, least: float) -> DataFr
     by_chance = n * (1 - F.exp(-F.col("occurrences") / n))
     residual = F.log2(by_chance / F.col("documents"))
     often = words.filter(F.col("documents") >= least)
-    scored = often.select("word", (F.col("occurrences") * residual).alias("strength")).filter(F.col("strength") > 0)
+    scored = often.filter(residual >= LEAST_RESIDUAL).select("word", (F.col("occurrences") * residual).alias("strength"))
     return scored.orderBy(F.desc("strength"), "word").limit(topics).select("word")
 
 
@@ -220,7 +241,8 @@ def drawn(docs: DataFrame, kept: Column, slim: bool, id_col: str, text: str, sou
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
     draw = unit(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL)), F.lit(seed))
     body = F.col(text).cast("string")
-    rows = docs.select(kept.alias("kept"), draw.alias("draw"), named(source).alias("_source"), named(lang).alias("_lang"), (named(topic) if topic else word_topic(body, learn_topics(docs, text))).alias("_topic"), token_count(body).alias("n_tokens"))
+    about = surface_topic(body) if topic is None else word_topic(body, learn_topics(docs, text)) if topic == WORDS else named(topic)
+    rows = docs.select(kept.alias("kept"), draw.alias("draw"), named(source).alias("_source"), named(lang).alias("_lang"), about.alias("_topic"), token_count(body).alias("n_tokens"))
     rows = cut(rows) if slim else rows
     keys = [f"_{m}" for m in MARGINS]
     cells = cut(rows.groupBy(*keys).agg(F.sum("n_tokens").cast("double").alias("tokens")))
