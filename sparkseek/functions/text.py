@@ -53,16 +53,18 @@ def strip_accents(s: Column) -> Column:
     return F.translate(s, accents, "".join(plain * len(marked) for plain, marked in ACCENTED.items()))
 
 
+def _paired(s: Column) -> Column:
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), LOOKALIKE_PAIRS, F.lower(s))
+
+
 def fold(s: Column) -> Column:
     """One form for all readings of a word that look alike."""
-    paired = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), LOOKALIKE_PAIRS, F.lower(s))
-    return F.translate(strip_accents(paired), LOOKALIKE_FROM, LOOKALIKE_TO)
+    return F.translate(strip_accents(_paired(s)), LOOKALIKE_FROM, LOOKALIKE_TO)
 
 
 def folded_length(s: Column) -> Column:
-    """The length of fold(s): only the pairs make a text shorter, and no pair shares a letter with another."""
-    low = F.lower(s)
-    return F.length(low) - F.regexp_count(low, F.lit("|".join(pair for pair, _ in LOOKALIKE_PAIRS)))
+    """The length of fold(s): only the pairs make a text shorter, the rest goes letter by letter."""
+    return F.length(_paired(s))
 
 
 def words(s: Column) -> Column:

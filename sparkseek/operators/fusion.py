@@ -29,15 +29,15 @@ def merge_by_best(first: DataFrame, second: DataFrame) -> DataFrame:
 def fold_groups(hits: DataFrame, order: list[Column], enabled: bool = True) -> DataFrame:
     """hits with group_size; of each group the first row in the order stays, with all evidence.
 
-    The size counts matching members only. Rows without a group stand alone. Groups are bursts
-    of near-duplicates within minutes, so they are small.
+    The size counts matching members only. Rows without a group stand alone and are not moved.
+    Groups are bursts of near-duplicates within minutes, so they are small.
     """
     if not enabled:
         return hits.withColumn("group_size", F.lit(1).cast("long"))
-    key = F.coalesce(F.concat(F.lit("g"), F.col("group_id")), F.concat(F.lit("i"), F.col("id")))
-    whole = Window.partitionBy("_group")
-    inner = whole.orderBy(*order)
-    marked = hits.withColumn("_group", key).withColumns({"_place": F.row_number().over(inner), "group_size": F.count("*").over(whole)})
+    alone = hits.filter(F.col("group_id").isNull()).withColumn("group_size", F.lit(1).cast("long"))
+    whole = Window.partitionBy("group_id")
+    marked = hits.filter(F.col("group_id").isNotNull()).withColumns({"_place": F.row_number().over(whole.orderBy(*order)), "group_size": F.count("*").over(whole)})
     marked = marked.withColumn("_all", F.array_sort(F.collect_list(F.struct("_place", "evidence")).over(whole)))
     every = F.array_distinct(F.flatten(F.transform("_all", lambda x: x["evidence"])))
-    return marked.filter(F.col("_place") == 1).withColumn("evidence", every).drop("_group", "_place", "_all")
+    folded = marked.filter(F.col("_place") == 1).withColumn("evidence", every).drop("_place", "_all")
+    return alone.unionByName(folded.select(alone.columns))

@@ -89,7 +89,11 @@ def matches(groups: list[list[str]], short: list[str]) -> Column:
 
 
 def text_hits(catalog: DataFrame, eligible: DataFrame, groups: list[list[str]], short: list[str], near: bool = False, statistics: tuple[int, float, dict[str, int]] | None = None) -> DataFrame:
-    """What a hit shows of the matching rows of eligible, with whole, r (BM25), score, bucket, kind and evidence.
+    return counted_hits(catalog, eligible, groups, short, near, statistics)[0]
+
+
+def counted_hits(catalog: DataFrame, eligible: DataFrame, groups: list[list[str]], short: list[str], near: bool = False, statistics: tuple[int, float, dict[str, int]] | None = None) -> tuple[DataFrame, int]:
+    """What a hit shows of the matching rows of eligible, with whole, r (BM25), score, bucket, kind and evidence; and how many these are.
 
     The score is r over the smallest r of the result, and its bucket is a quarter of that scale.
     Texts are read once for the statistics, unless these are given, and once for the hits, which
@@ -98,18 +102,15 @@ def text_hits(catalog: DataFrame, eligible: DataFrame, groups: list[list[str]],
     phrases = list(dict.fromkeys(t for g in groups for t in g))
     shown = [c for c in SHOWN if c in eligible.columns]
     found = eligible.filter(matches(groups, short)).withColumn("whole", whole_words(groups, short))
-    if phrases:
-        every = [t for g in groups for t in g]
-        found = cut(found.select(*shown, "whole", bm25(every, statistics or corpus_statistics(catalog, phrases)).alias("r")))
-        worst = found.agg(F.min("r")).first()[0] or 0.0
-    else:
-        found, worst = cut(found.select(*shown, "whole", F.lit(0.0).alias("r"))), 0.0
+    r = bm25([t for g in groups for t in g], statistics or corpus_statistics(catalog, phrases)) if phrases else F.lit(0.0)
+    found = cut(found.select(*shown, "whole", r.alias("r")))
+    worst, count = found.agg(F.coalesce(F.min("r"), F.lit(0.0)), F.count("*")).first()
     score = F.col("r") / F.lit(worst) if worst < 0 else F.lit(1.0)
     bucket = F.floor(F.col("r") / F.lit(worst) * 4).cast("long") if worst < 0 else F.lit(0).cast("long")
     wanted = len(groups) + len(short)
     kind = F.lit("near") if near else F.when(F.col("whole") >= wanted, "text").otherwise("partial")
     found = found.withColumns({"score": score, "bucket": bucket, "complete": F.col("whole") >= wanted, "kind": kind, "lane": F.lit(int(near))})
-    return found.withColumn("evidence", F.array("kind"))
+    return found.withColumn("evidence", F.array("kind")), count
 
 
 def ranking() -> list[Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkseek.operators import fuzzy, vectors
 from sparkseek.operators.caches import Caches
 from sparkseek.operators.fusion import fold_groups, reciprocal_rank_fusion
-from sparkseek.operators.lexical import SHOWN, ranking, split_terms, text_hits
+from sparkseek.operators.lexical import SHOWN, counted_hits, ranking, split_terms
 from sparkseek.operators.lines import with_highlights
 from sparkseek.operators.ordering import shuffle_columns, sort_columns, with_rank
 from sparkseek.plans.filters import apply_filters
@@ -113,11 +113,9 @@ def search(catalog: DataFrame, request: SearchRequest, embedder: vectors.Embedde
     groups, short = split_terms(p.terms)
     text, count, more = None, 0, {}
     if request.lane != "visual":
-        text = text_hits(catalog, eligible, groups, short)
-        exact = text.limit(NEAR_BELOW).count()
-        if exact < NEAR_BELOW and any(len(g[0]) >= 4 for g in groups):
-            text, more = _with_near(catalog, eligible, request, groups, short, text, exact, caches, version)
-        count = text.count()
+        text, count = counted_hits(catalog, eligible, groups, short)
+        if count < NEAR_BELOW and any(len(g[0]) >= 4 for g in groups):
+            text, count, more = _with_near(catalog, eligible, request, groups, short, text, count, caches, version)
     visual = None
     if request.lane != "text" and ready:
         queries = [v for v in map(embedder.embed_text, vectors.prompts(p.terms)) if vectors.usable_query(v, dim)]
@@ -143,14 +141,13 @@ def _with_near(catalog, eligible, request, groups, short, text, exact, caches, v
     if not caches:
         vocab.unpersist()
     if all(len(g) == 1 for g in spelled):
-        return text, {}
+        return text, exact, {}
     rest = eligible.join(text.select("id"), "id", "left_anti")
-    near = text_hits(catalog, rest, spelled, short, near=True)
-    some = not near.isEmpty()
+    near, some = counted_hits(catalog, rest, spelled, short, near=True)
     more = {"spellings": [t for g in spelled for t in g[1:]] if some else []}
     if fixes and some:
         more |= {"did_you_mean": fuzzy.corrected_query(request.q, fixes), "corrected": exact == 0}
-    return text.unionByName(near), more
+    return text.unionByName(near), exact + some, more
 
 
 def _similar(catalog, eligible, request, terms, embedder, dim) -> DataFrame | None:
