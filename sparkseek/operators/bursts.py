@@ -51,7 +51,8 @@ def burst_pairs(catalog: DataFrame) -> DataFrame:
     once = (F.col("a_slot") < F.col("b_slot")) | (F.col("a_id") < F.col("b_id"))
     score = similarity(F.col("a_said"), F.col("b_said"), F.col("a_dhash"), F.col("b_dhash"))
     found = left.join(right, pair & near & once & (F.col("a_id") != F.col("b_id"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")).filter(F.col("score").isNotNull())
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    ways = F.array(F.struct("a", "b", "score"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    return found.select(F.explode(ways).alias("p")).select("p.*")
 
 
 def best_neighbours(catalog: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import text as T
 from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, mutations, ordering, pixels, reading, stats, text_index, vectors, work
 from sparkseek.operators.caches import Caches
+from sparkseek.operators.components import connected_components
 from sparkseek.operators.lines import LINES, boxes, merge_lines, reading_rows, with_highlights
 from sparkseek.operators.search import get_item, paths_of, search
 from sparkseek.plans.request import SearchRequest
@@ -225,6 +226,13 @@ def test_a_long_burst_in_random_order_is_one_group(spark, monkeypatch):
     assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
 
 
+def test_estimates_do_not_grow_with_the_rounds_of_components(spark):
+    ids = np.random.default_rng(7).permutation(300).tolist()
+    got = connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**1000
+    assert got.select("root").distinct().count() == 1 and got.count() == 300
+
+
 def test_bursts(spark):
     said = "a\nb\nc\nd\ne"
     rows = [(1, "f", 0, 0, said, None), (2, "f", 500_000, -1, said + "\nx", None), (3, "f", 1_100_000, -1, "other", None), (4, "f", 1_100_000, -8, "", None), (5, "g", 0, 0, said, None), (6, "f", 9_000_000, 0, said, None)]
