@@ -213,9 +213,10 @@ def openable(url: Column) -> Column:
     return (scheme == "") | scheme.isin("http", "https", "mailto")
 
 
-def byte_size(n: Column) -> Column:
-    """A size in steps of 1000, with one decimal below ten of a unit."""
+def byte_size(n: Column, largest: str = "TB") -> Column:
+    """A size in steps of 1000 up to the largest unit, with one decimal below ten of a unit."""
     units = ("B", "KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(units[1:], 1):
         scaled = n / float(1000**i)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sparkseek.functions import text as T
 from sparkseek.operators import bursts, evaluation, fusion, fuzzy, lexical, mutations, ordering, pixels, reading, stats, text_index, vectors, work
 from sparkseek.operators.caches import Caches
@@ -155,6 +156,13 @@ def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v")).alias("o")).first()["o"]
 
 
+def test_large_sizes_in_the_units_of_the_sql(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (1, 164_398, 164_399, 900_001, 8_999_999)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["id"]: r["size"] for r in queries()["byte_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "37 B", 164_398: "1000 GB", 164_399: "1000 GB", 900_001: "29970 GB", 8_999_999: "2996999 GB"}
+    assert spark.range(1).select(T.byte_size(F.lit(29_970_066_600_037))).first()[0] == "30 TB"
+
+
 def test_text_scalars(spark):
     assert one(spark, T.fold, "Inv0ice CLearn |1! Çé ğß") == "lnvolce deam lll ce ğß"
     assert one(spark, T.words, "An Écran, x2y ab—cd_efg") == ["écran", "x2y", "efg"]
